@@ -36,12 +36,11 @@ def load(path: str):
     return t
 
 
-class ByteLevelEncoder:
-    """encode(text) gives the ids of a byte-level vocabulary as little-endian unsigned 16-bit integers."""
+class BlankChunks:
+    """encode(text) for a vocabulary that keeps white space, where whole gives the packed ids of any text."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        t = load(path)
-        self.whole = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    def __init__(self, whole, remembered: int = REMEMBERED):
+        self.whole = whole
         self.memo = Memo(self._chunk, remembered)
 
     def _chunk(self, key: str) -> bytes:
@@ -69,12 +68,22 @@ class ByteLevelEncoder:
         raise _Whole
 
 
+def packer(path: str):
+    """The library's ids of a whole text as little-endian unsigned 16-bit integers."""
+    t = load(path)
+    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
+class ByteLevelEncoder(BlankChunks):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        super().__init__(packer(path), remembered)
+
+
 class FoldedWordEncoder:
     """The same for the lower-case word vocabulary, which drops white space, so that any blank or line break separates chunks."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        t = load(path)
-        self.whole = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        self.whole = packer(path)
         self.memo = Memo(self._chunk, remembered)
 
     def _chunk(self, key: str) -> bytes:
