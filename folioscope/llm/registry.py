@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that register queries; each has QUERIES and may have ORACLES.
-MODULES = ["media", "licenses", "bpe", "packing", "wavelet"]
+MODULES = ["media", "licenses", "bpe", "packing", "wavelet", "embeddings", "jaccard"]
 
 
 def _modules():
