@@ -14,7 +14,7 @@ import numpy as np
 from folioscope.llm.common import Memo
 
 #: Chunks that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 _simple = re.compile(r"[A-Za-z]+[.,]").fullmatch
 _space = re.compile(r"\s").search
 
