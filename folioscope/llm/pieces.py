@@ -41,32 +41,36 @@ class BlankChunks:
 
     def __init__(self, whole, remembered: int = REMEMBERED):
         self.whole = whole
+        #: By what follows a blank, or by a line break and what follows it; and by what follows neither.
         self.memo = Memo(self._chunk, remembered)
+        self.first = Memo(self._bare, max(1, remembered // 4))
+
+    def _bare(self, key: str) -> bytes:
+        if not key or _space(key):
+            raise _Whole
+        return self.memo_end(self.first, key) or self.whole(key)
 
     def _chunk(self, key: str) -> bytes:
-        if not key or _space(key, 1) or (key[0] == "\n" and len(key) == 1) or (key[0] not in " \n" and _space(key)):
+        if key[:1] == "\n":
+            return self.whole("\n") + self.first[key[1:]]
+        if not key or _space(key):
             raise _Whole
-        if _simple(key, 1):
-            return self.memo[key[:-1]] + self.memo[key[-1]]
-        return self.whole(key)
+        return self.memo_end(self.memo, key) or self.whole(" " + key)
+
+    def memo_end(self, memo: Memo, key: str) -> bytes | None:
+        """Letters and a closing mark are pieces of their own."""
+        return memo[key[:-1]] + self.first[key[-1]] if _simple(key) else None
 
     def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         first, *rest = text.replace("\n", " \n").split(" ")
-        get = self.memo.__getitem__
         try:
-            # A chunk after a line break starts with it; any other but the first had a blank.
-            return (get(first) if first else b"" if not rest else self._lead(rest)) + b"".join([get(x) if x[:1] == "\n" else get(" " + x if x else "") for x in rest])
+            # A text that starts with white space has an empty first chunk; what follows says which.
+            return (self.first[first] if first or not rest else b"") + b"".join(map(self.memo.__getitem__, rest))
         except _Whole:
             return self.whole(text)
 
-    def _lead(self, rest: list[str]) -> bytes:
-        """The text starts with white space: right if it is a single one."""
-        if rest[0][:1] not in ("", "\n"):
-            return b""
-        if rest[0][:1] == "\n" and len(rest[0]) > 1:
-            return b""
-        raise _Whole
-
 
 def packer(path: str):
     """The library's ids of a whole text as little-endian unsigned 16-bit integers."""

@@ -21,7 +21,7 @@ def test_chunks_give_the_librarys_ids(kind, name):
     made = ["".join(r.choice(["ab", "Z", " ", "  ", "\n", ".", ",", "'s", "é", "9", "\t", " ", "!", "ß"]) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
     for text in TEXTS + made + TEXTS:
         assert np.frombuffer(e.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
-        assert len(e.memo) <= 44
+        assert len(e.memo) <= 45
 
 
 def brute_first_fit(lengths, capacity):
