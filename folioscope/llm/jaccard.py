@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import components, table, text_or_empty, written
+from folioscope.llm.common import components, forget, table, text_or_empty, written
 from folioscope.llm.shingles import shingle_set
 
 WORDS = 5
@@ -27,7 +27,9 @@ COMMON_SHARE = 0.002
 MOST_COMMON = 400_000
 #: Members of a key or a possible group that one task compares; larger ones are dealt as pairs of blocks.
 BLOCK = 4096
-BITMAP_BITS = (8, 4096)
+BITMAP_BITS = (8, 32768)
+#: Keys of so many classes at most give pairs right away, which are counted over all keys; larger ones get a signature tree each.
+PAIRED = 12
 LEAF = 32
 
 
@@ -199,29 +201,6 @@ class SignatureTree:
                 join(i, j)
 
 
-def _small(sizes: list[int], maps: list[bytes], side) -> list[tuple[int, int]]:
-    """Pairs of a few sets that may be linked, by Python integers; one fewer than the members of each group."""
-    groups, out = Groups(len(sizes)), []
-    ints = [int.from_bytes(m, "little") for m in maps]
-    for i in range(len(sizes)):
-        for j in range(i):
-            a, b = sizes[i], sizes[j]
-            if 5 * a < 4 * b or 5 * b < 4 * a or (side is not None and side[i] == side[j]) or groups.root(i) == groups.root(j):
-                continue
-            x, y, wx, wy = ints[i], ints[j], len(maps[i]) * 8, len(maps[j]) * 8
-            while wx > wy:
-                wx //= 2
-                x = x & ((1 << wx) - 1) | x >> wx
-            while wy > wx:
-                wy //= 2
-                y = y & ((1 << wy) - 1) | y >> wy
-            both = (x & y).bit_count()
-            if min(a - x.bit_count(), b - y.bit_count()) + both >= needed(a, b):
-                groups.join(i, j)
-                out.append((i, j))
-    return out
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Rows that agree in the first columns, as column lists, from batches sorted by them."""
     held: list[list] | None = None
@@ -317,34 +296,56 @@ def in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     return mine.withColumn("i", F.least("_k", "_o")).withColumn("j", F.greatest("_k", "_o")).withColumn("own", (F.col("_k") == F.col("i")).cast("int")).drop("_b", "_k", "_o")
 
 
-def may_be_linked(classes: DataFrame, block: int) -> DataFrame:
-    """Edges (a, b) between classes that share a key and whose bitmaps allow a link: for each key one fewer than the members of each group they form."""
-    keys = classes.where("n > 0").select("cid", "n", F.explode("prefix").alias("key"))
-    shared = keys.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1")
-    rows = in_blocks(shared, "key", "count", block).join(classes.select("cid", "map"), "cid").select("key", "i", "j", "own", "cid", "n", "map")
+def counted_pairs(shared: DataFrame, paired: int) -> DataFrame:
+    """Pairs (a, b) of classes that share small keys, if they share enough of them.
+
+    Of two prefixes take the one that ends first: what it doesn't share with the other isn't in the other's set at all. So
+    a link needs at least needed - n + prefix_length common keys, with n of that class; keys that aren't counted here may all be common.
+    """
+    small = shared.where(F.col("count") <= paired).select("key", "cid", "n")
+    large = shared.where(F.col("count") > paired).groupBy("cid").agg(F.count("*").alias("more"))
+    a, b = (small.select("key", F.col("cid").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, "key").where("a < b and 5 * na >= 4 * nb and 5 * nb >= 4 * na").groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"))
+    more = F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    need = F.ceil(4 * (F.col("na") + F.col("nb")) / 9)
+    least = lambda n: need - F.col(n) + F.col(n) - F.ceil(4 * F.col(n) / 5) + 1
+    enough = F.col("c") + more >= F.least(least("na"), least("nb"))
+    # Without the larger keys the count may fall short of what they could add, so they are looked up for the rest.
+    met = met.join(large.select(F.col("cid").alias("a"), F.col("more").alias("ma")), "a", "left").join(large.select(F.col("cid").alias("b"), F.col("more").alias("mb")), "b", "left")
+    return met.where(enough).select("a", "b")
+
+
+def treed_pairs(shared: DataFrame, classes: DataFrame, paired: int, block: int) -> DataFrame:
+    """Edges (a, b) between classes that share a large key and whose bitmaps allow a link: for each key one fewer than the members of each group they form."""
+    large = shared.where(F.col("count") > paired)
+    rows = in_blocks(large, "key", "count", block).join(classes.select("cid", "map"), "cid").select("key", "i", "j", "own", "cid", "n", "map")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, i, j, own, cid, n, maps in runs(batches, 3):
-            side = own if i[0] != j[0] else None
-            if len(cid) <= 12:
-                for p, q in _small(n, maps, side):
+            side = np.array(own) if i[0] != j[0] else None
+            groups = SignatureTree(np.array(n, np.int64), maps, None, side).run()
+            for p in range(len(cid)):
+                if (r := groups.root(p)) != p:
                     a.append(cid[p])
-                    b.append(cid[q])
-            else:
-                groups = SignatureTree(np.array(n, np.int64), maps, None, None if side is None else np.array(side)).run()
-                for p in range(len(cid)):
-                    if (r := groups.root(p)) != p:
-                        a.append(cid[p])
-                        b.append(cid[r])
+                    b.append(cid[r])
             if len(a) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def may_be_linked(classes: DataFrame, block: int, paired: int = PAIRED) -> DataFrame:
+    """Edges (a, b) between classes that may be linked: every link is an edge, or follows from edges."""
+    keys = classes.where("n > 0").select("cid", "n", F.explode("prefix").alias("key"))
+    shared = written(keys.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"), "shared")
+    edges = written(counted_pairs(shared, paired).unionByName(treed_pairs(shared, classes, paired, block)).distinct(), "edges")
+    forget(shared)
+    return edges
 
 
 #: Bits of the filter on documents whose whole sets are needed: 8 MB, whatever the input; where it fills up it only lets more through.
@@ -407,7 +408,7 @@ def links_within(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def joined(docs: DataFrame, block: int = BLOCK, share: float = COMMON_SHARE) -> DataFrame:
+def joined(docs: DataFrame, block: int = BLOCK, share: float = COMMON_SHARE, paired: int = PAIRED) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row of (doc_id, text); other columns are dropped.
 
     Null and empty texts and those without words have an empty set and link with nothing. Rows with equal sets are in one component,
@@ -418,19 +419,26 @@ def joined(docs: DataFrame, block: int = BLOCK, share: float = COMMON_SHARE) ->
     common = spark.sparkContext.broadcast(common_shingles(texts, share))
     sets = written(sets_of(texts, common), "sets")
     classes = sets.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    near = written(components(may_be_linked(classes, block)), "near").withColumnsRenamed({"node": "cid", "component": "grp"})
-    near = written(near.unionByName(near.select(F.col("grp").alias("cid"), "grp").distinct()).distinct().join(classes.select("cid", "low", "s1", "s2"), "cid"), "near")
-    found = whole_sets(texts, near.select(F.col("low").alias("doc_id"))).dropDuplicates(["s1", "s2"])
+    full = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    ids = written(sets.select("doc_id", "n", "s1", "s2"), "ids")
+    forget(sets)
+    edges = may_be_linked(full, block, paired)
+    classes = written(full.select("s1", "s2", "cid", "low"), "classes")
+    forget(full)
+    near = components(edges).withColumnsRenamed({"node": "cid", "component": "grp"})
+    near = near.unionByName(near.select(F.col("grp").alias("cid"), "grp")).distinct()
+    near = written(near.join(classes, "cid"), "near")
+    found = whole_sets(texts, near.select(F.col("low").alias("doc_id")))
     sized = near.join(near.groupBy("grp").agg(F.count("*").alias("count")), "grp")
-    edges = links_within(in_blocks(sized.join(found, ["s1", "s2"]), "grp", "count", block))
-    linked = components(edges).withColumnsRenamed({"node": "cid", "component": "root"})
+    # Copies that got through with their class's id are dropped after the join, on its partitioning.
+    held = found.join(sized, ["s1", "s2"]).dropDuplicates(["s1", "s2"])
+    linked = components(links_within(in_blocks(held, "grp", "count", block))).withColumnsRenamed({"node": "cid", "component": "root"})
     # The smallest doc_id of each component, from its classes' smallest.
-    of = classes.select("s1", "s2", "cid", "low").join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    of = classes.join(linked, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = of.groupBy("root").agg(F.min("low").alias("component_id"))
     of = of.join(least, "root").select("s1", "s2", "component_id")
-    some = sets.where("n > 0").select("doc_id", "n", "s1", "s2").join(of, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    some = ids.where("n > 0").join(of, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    none = ids.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
 
 

@@ -66,10 +66,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,block,share", [(1, 4096, 0.002), (2, 9, 0.05)])
-def test_components(spark, seed, block, share):
+@pytest.mark.parametrize("seed,block,share,paired", [(1, 4096, 0.002, 12), (2, 9, 0.05, 3), (3, 4096, 0.02, 1)])
+def test_components(spark, seed, block, share, paired):
     rows = corpus(seed)
-    got = sorted(((x.doc_id is None, x.doc_id or 0), x.n_shingles, x.component_id) for x in jaccard.joined(frame(spark, rows).repartition(3), block, share).collect())
+    got = sorted(((x.doc_id is None, x.doc_id or 0), x.n_shingles, x.component_id) for x in jaccard.joined(frame(spark, rows).repartition(3), block, share, paired).collect())
     assert got == brute(rows)
 
 
