@@ -90,20 +90,15 @@ class Node:
 
 
 class SignatureTree:
-    """Over sets given by size and bitmap; link(i, j) says whether two that may be linked are. side: 0 or 1, only unlike sides are compared (None: all)."""
-
-    def __init__(self, sizes: np.ndarray, maps: list[bytes], link: Callable[[int, int], bool] | None, side: np.ndarray | None = None):
-        self.sizes, self.link, self.side = sizes, link, side
-        self.groups = Groups(len(sizes))
-        width = min(map(len, maps))
-        self.width = width
-        by = {}
-        for i, m in enumerate(maps):
-            by.setdefault(len(m), []).append(i)
-        folded = np.zeros((len(maps), width), np.uint8)
-        for w, at in by.items():
-            folded[at] = fold(np.frombuffer(b"".join([maps[i] for i in at]), np.uint8).reshape(-1, w), width)
-        self.words = np.ascontiguousarray(folded).view(np.uint8 if width < 8 else np.uint64).reshape(len(maps), -1)
+    """Over sets given by size, bitmaps of one width and place in groups; link(i, j) says whether two that may be linked are.
+
+    unlike: arrays of sides; sets are compared only if they are on other sides in each.
+    """
+
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, places: np.ndarray, groups: Groups, link: Callable[[int, int], bool] | None, unlike=()):
+        self.sizes, self.link, self.unlike, self.places, self.groups = sizes, link, unlike, places.tolist(), groups
+        width = bits.shape[1]
+        self.words = np.ascontiguousarray(bits).view(np.uint8 if width < 8 else np.uint64).reshape(len(bits), -1)
         self.clash = sizes - np.bitwise_count(self.words).sum(1).astype(np.int64)
         # Alike sets side by side: by size class, then by the lowest bits set.
         order = np.lexsort((*(self.words[:, k] for k in range(min(2, self.words.shape[1]))), np.floor(np.log(sizes) / np.log(1.25))))
@@ -137,13 +132,13 @@ class SignatureTree:
                     return None
                 roots.add(r)
         else:
-            roots = {self.groups.root(int(i)) for i in x.members}
+            roots = {self.groups.root(self.places[i]) for i in x.members.tolist()}
         if len(roots) > 1:
             return None
         x.one = roots.pop()
         return x.one
 
-    def run(self) -> Groups:
+    def run(self) -> None:
         # Within leaves first: then whole nodes are soon in one group.
         todo = [self.top]
         leaves = []
@@ -156,7 +151,6 @@ class SignatureTree:
         for n in leaves:
             self._leaves(n, n)
         self._within(self.top)
-        return self.groups
 
     def _within(self, x: Node) -> None:
         if x.members is not None or self._same(x) is not None:
@@ -192,15 +186,44 @@ class SignatureTree:
         may = most >= needed(na[:, None], nb[None, :])
         if x is y:
             may &= np.tri(len(a), len(b), -1, bool)
-        if self.side is not None:
-            may &= self.side[a][:, None] != self.side[b][None, :]
-        root, join, link = self.groups.root, self.groups.join, self.link
+        for side in self.unlike:
+            may &= side[a][:, None] != side[b][None, :]
+        root, join, link, places = self.groups.root, self.groups.join, self.link, self.places
         for p, q in zip(*np.nonzero(may), strict=True):
-            i, j = int(a[p]), int(b[q])
+            i, j = places[a[p]], places[b[q]]
             if root(i) != root(j) and (link is None or link(i, j)):
                 join(i, j)
 
 
+def grouped(sizes: np.ndarray, maps: list[bytes], link: Callable[[int, int], bool] | None = None, side: np.ndarray | None = None) -> Groups:
+    """Groups of sets by links, or by what their bitmaps allow. side: 0 or 1, only unlike sides are compared (None: all).
+
+    Sets that can be linked have bitmaps of the same width or of one and its double: a tree for each width, and one for the
+    neighbouring sizes of each two, with the wider bitmaps folded.
+    """
+    groups = Groups(len(sizes))
+    by: dict[int, list[int]] = {}
+    for i, m in enumerate(maps):
+        by.setdefault(len(m), []).append(i)
+    plain = [] if side is None else [side]
+
+    def tree(at: np.ndarray, bits: np.ndarray, unlike) -> None:
+        if len(at) > 1:
+            SignatureTree(sizes[at], bits, at, groups, link, [u[at] for u in unlike]).run()
+
+    wide = np.array([len(m) for m in maps])
+    bits = {w: np.frombuffer(b"".join([maps[i] for i in at]), np.uint8).reshape(-1, w) for w, at in by.items()}
+    for w in by:
+        at = np.array(by[w])
+        tree(at, bits[w], plain)
+        if 2 * w in by:
+            over = np.array(by[2 * w])
+            a, b = 5 * sizes[at] >= 4 * sizes[over].min(), 4 * sizes[over] <= 5 * sizes[at].max()
+            if a.any() and b.any():
+                tree(np.concatenate([at[a], over[b]]), np.concatenate([bits[w][a], fold(bits[2 * w][b], w)]), [*plain, wide])
+    return groups
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Rows that agree in the first columns, as column lists, from batches sorted by them."""
     held: list[list] | None = None
@@ -325,8 +348,7 @@ def treed_pairs(shared: DataFrame, classes: DataFrame, paired: int, block: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, i, j, own, cid, n, maps in runs(batches, 3):
-            side = np.array(own) if i[0] != j[0] else None
-            groups = SignatureTree(np.array(n, np.int64), maps, None, side).run()
+            groups = grouped(np.array(n, np.int64), maps, None, np.array(own) if i[0] != j[0] else None)
             for p in range(len(cid)):
                 if (r := groups.root(p)) != p:
                     a.append(cid[p])
@@ -401,7 +423,7 @@ def links_within(rows: DataFrame) -> DataFrame:
                 overlap = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
                 return overlap >= needed(int(sizes[p]), int(sizes[q]))
 
-            groups = SignatureTree(sizes, [bitmap(s, bitmap_bits(len(s))) for s in x], link, np.array(own) if i[0] != j[0] else None).run()
+            groups = grouped(sizes, [bitmap(s, bitmap_bits(len(s))) for s in x], link, np.array(own) if i[0] != j[0] else None)
             at = [(cid[p], cid[r]) for p in range(len(cid)) if (r := groups.root(p)) != p]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in at], pa.int64()), pa.array([q for _, q in at], pa.int64())], ["a", "b"])
 

@@ -95,13 +95,13 @@ def test_tree_is_all_pairs():
     sets = []
     for _ in range(300):
         b = base[r.randint(6)]
-        keep = b[r.rand(len(b)) > r.choice([0.02, 0.1, 0.3])]
+        keep = b[r.rand(len(b)) > r.choice([0.02, 0.1, 0.3, 0.8])]
         sets.append(np.unique(np.concatenate([keep, r.randint(0, 2**62, r.randint(0, 12)).astype(np.uint64)])))
     sizes = np.array([len(s) for s in sets])
     link = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= jaccard.needed(int(sizes[i]), int(sizes[j]))
     maps = [jaccard.bitmap(s, jaccard.bitmap_bits(len(s))) for s in sets]
     for side in (None, r.randint(0, 2, 300)):
-        g = jaccard.SignatureTree(sizes, maps, link, side).run()
+        g = jaccard.grouped(sizes, maps, link, side)
         want = jaccard.Groups(300)
         for i in range(300):
             for j in range(i):
