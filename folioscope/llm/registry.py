@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that register queries; each has QUERIES and may have ORACLES.
-MODULES = ["toxicity", "media", "licenses", "bpe", "packing", "wavelet", "embeddings", "jaccard"]
+MODULES = ["toxicity", "media", "quality", "licenses", "bpe", "packing", "wavelet", "embeddings", "jaccard"]
 
 
 def _modules():
@@ -14,7 +14,9 @@ def _modules():
 
 
 def queries() -> dict[str, Callable]:
-    return {k: f for m in _modules() for k, f in m.QUERIES.items()}
+    import corpus_pipeline
+
+    return {k: f for m in _modules() for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
