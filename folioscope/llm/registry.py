@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that register queries; each has QUERIES and may have ORACLES.
-MODULES = ["toxicity", "media", "quality", "licenses", "bpe", "packing", "wavelet", "embeddings", "jaccard"]
+MODULES = ["toxicity", "media", "quality", "chat", "licenses", "bpe", "packing", "wavelet", "embeddings", "jaccard"]
 
 
 def _modules():
