@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Transitions and compatible pairs that a worker keeps before it starts over.
-KEPT_TRANSITIONS = 400_000
+#: Transitions and compatible pairs that a worker keeps before it starts over, and chunks of text in each of two generations.
+KEPT_TRANSITIONS = 150_000
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -213,12 +214,10 @@ class Codec:
     STREAM = 4096
 
     def __init__(self, path: str, pattern: str):
-        from folioscope.llm.common import Memo
-        from folioscope.llm.pieces import REMEMBERED, BlankChunks
+        from folioscope.llm.pieces import BlankChunks
 
         self.transducer = Transducer(read_ranks(path))
         self.split = Splitter(pattern).pieces
-        self.piece = Memo(lambda p: self.transducer.encode(p.encode()), REMEMBERED)
         self.chunks = BlankChunks(lambda text: b"".join([self.transducer.encode(p.encode()) for p in self.split(text)]), REMEMBERED)
         self.encode = self.chunks.encode
 
