@@ -8,13 +8,13 @@ where that doesn't hold (white space in a row, at an end, or of another kind) go
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import sys
+from array import array
 
 from folioscope.llm.common import Memo
 
 #: Chunks that a worker remembers in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
 _simple = re.compile(r"[A-Za-z]+[.,]").fullmatch
 _space = re.compile(r"\s").search
 
@@ -72,10 +72,17 @@ class BlankChunks:
             return self.whole(text)
 
 
+def _little(ids: array) -> bytes:
+    if sys.byteorder != "little":
+        ids.byteswap()
+    return ids.tobytes()
+
+
 def packer(path: str):
     """The library's ids of a whole text as little-endian unsigned 16-bit integers."""
     t = load(path)
-    return lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    # Without offsets, and packed by array, which is quicker than numpy for the few ids of a chunk.
+    return lambda text: _little(array("H", t.encode_batch_fast([text], add_special_tokens=False)[0].ids))
 
 
 class ByteLevelEncoder(BlankChunks):

@@ -146,12 +146,12 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens: undoes the stable partition of each plane, from the last to the first."""
-        low = np.zeros(self.n, np.uint32)
+        low = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for p in range(self.planes - 1, -1, -1):
             bit = np.unpackbits(self.bits[p], count=self.n, bitorder="little").astype(bool)
             out = np.empty_like(low)
             out[~bit] = low[: self.zeros[p]]
-            out[bit] = low[self.zeros[p] :] | np.uint32(1 << (self.planes - 1 - p))
+            out[bit] = low[self.zeros[p] :] | low.dtype.type(1 << (self.planes - 1 - p))
             low = out
         return low
 
