@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -20,9 +21,20 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+#: Modules that register queries when they are imported.
+MODULES = ["texts", "policies"]
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"folioscope.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
