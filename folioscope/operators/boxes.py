@@ -69,49 +69,46 @@ def islands(rows: DataFrame, by: list[str], position: str) -> DataFrame:
 FOLDED_ROWS = 20_000
 
 
-def by_pages(rows: DataFrame, fold, schema: str) -> DataFrame:
-    """fold(page's pandas rows) for each page, by groups of whole pages."""
+def by_pages(rows: DataFrame, columns: list[str], fold, schema: str) -> DataFrame:
+    """fold(page, its rows as tuples of the other columns) for each page, by groups of whole pages. A page's rows are bounded by its area."""
     groups = max(1, -(-rows.count() // FOLDED_ROWS))
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(pdf):
         import pandas as pd
 
-        return pd.concat([fold(page, part) for page, part in pdf.groupby("page", sort=False)], ignore_index=True)
+        pdf = pdf.sort_values(["page", columns[0]], kind="stable")
+        pages, others = pdf["page"].tolist(), list(zip(*(pdf[c].tolist() for c in columns), strict=True))
+        out, start = [], 0
+        for k in range(1, len(pages) + 1):
+            if k == len(pages) or pages[k] != pages[start]:
+                out += fold(pages[start], others[start:k])
+                start = k
+        return pd.DataFrame(out, columns=names)
 
-    return rows.withColumn("_g", F.pmod(F.xxhash64("page"), F.lit(groups))).groupBy("_g").applyInPandas(run, schema)
+    return rows.select("page", *columns).withColumn("_g", F.pmod(F.xxhash64("page"), F.lit(groups))).groupBy("_g").applyInPandas(run, schema)
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    """Rows of a page by the centre of the first word of each row (within half the smaller height), then from left to right: adds row and place.
+    """Rows of a page by the centre of the first word of each row (within half the smaller height), then from left to right: adds row and place."""
 
-    What a row is depends on its first word, so each page is folded on its own; a page's words are bounded by its area.
-    """
-
-    def fold(page, pdf):
-        import numpy as np
-
-        y = (pdf["y"] + pdf["h"] / 2).to_numpy()
-        h, x = pdf["h"].to_numpy(), pdf["x"].to_numpy()
-        row = np.zeros(len(pdf), np.int64)
-        at, first = -1, None
-        for i in np.lexsort((pdf["word"].to_numpy(), x, y)):
-            if first is None or y[i] - y[first] > 0.5 * min(h[i], h[first]):
-                at, first = at + 1, i
-            row[i] = at
-        place = np.empty(len(pdf), np.int64)
-        place[np.lexsort((pdf["word"].to_numpy(), x, row))] = np.arange(len(pdf))
-        return pdf[["page", "word"]].assign(row=row, place=place)
+    def fold(page, rows):
+        at, first, placed = -1, None, []
+        for word, x, y, h in sorted(rows, key=lambda r: (r[2] + r[3] / 2, r[1], r[0])):
+            centre = y + h / 2
+            if first is None or centre - first[0] > 0.5 * min(h, first[1]):
+                at, first = at + 1, (centre, h)
+            placed.append((at, x, word))
+        return [(page, word, row, k) for k, (row, _, word) in enumerate(sorted(placed))]
 
-    return by_pages(words, fold, "page long, word long, row long, place long")
+    return by_pages(words, ["word", "x", "y", "h"], fold, "page long, word long, row long, place long")
 
 
 def merged(boxes: DataFrame, gap: float) -> DataFrame:
-    """Boxes (page, box, x, y, w, h, pixels) joined with all within gap, until none is: one row per cluster. Each page is folded on its own."""
-
-    def fold(page, pdf):
-        import pandas as pd
+    """Boxes (page, box, x, y, w, h, pixels) joined with all within gap, until none is: one row per cluster."""
 
-        left = [[r.x, r.y, r.x + r.w, r.y + r.h, r.pixels, 1] for r in pdf.sort_values("box").itertuples()]
+    def fold(page, rows):
+        left = [[x, y, x + w, y + h, pixels, 1] for _, x, y, w, h, pixels in rows]
         done = False
         while not done:
             done, out = True, []
@@ -124,6 +121,6 @@ def merged(boxes: DataFrame, gap: float) -> DataFrame:
                 else:
                     out.append(b)
             left = out
-        return pd.DataFrame([(page, b[0], b[1], b[2] - b[0], b[3] - b[1], b[4], b[5]) for b in left], columns=["page", "x", "y", "w", "h", "pixels", "parts"])
+        return [(page, b[0], b[1], b[2] - b[0], b[3] - b[1], b[4], b[5]) for b in left]
 
-    return by_pages(boxes, fold, "page long, x double, y double, w double, h double, pixels long, parts long")
+    return by_pages(boxes, ["box", "x", "y", "w", "h", "pixels"], fold, "page long, x double, y double, w double, h double, pixels long, parts long")
