@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from folioscope.llm.common import table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Transitions and compatible pairs that a worker keeps before it starts over, and chunks of text in each of two generations.
-KEPT_TRANSITIONS = 150_000
-REMEMBERED = 200_000
+KEPT_TRANSITIONS = 200_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,6 +43,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Transducer:
     """Ids of one piece of text, byte by byte; whole pieces in ranks are one id, as in rank-file tokenizers."""
 
@@ -61,28 +66,78 @@ class Transducer:
                     self.token.append(-1)
                 node = nxt
             self.token[node] = i
+        self.spines: dict[int, list[tuple[bytes, int]]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.fits: dict[tuple[int, int], bool] = {}
-        start = (-1, ((0, ()),))
+        self.fits: dict[int, bool] = {}
+        # A state is the last settled token, then for each place its trie node, the number of its open tokens, and they.
+        start = (-1, 0, 0)
         self.ids_of = {start: 0}
         self.states = [start]
         self.ends = [b""]
         self.step: dict[int, tuple[int, bytes]] = {}
 
+    def _spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
+        """The parts of a token at its right or left end, from a byte to the whole, each with the rank at which it becomes the next; empty if merging its bytes doesn't give it."""
+        key = token << 1 | right
+        got = self.spines.get(key)
+        if got is None:
+            piece = self.bytes_of[token]
+            parts, at_end = [piece[i : i + 1] for i in range(len(piece))], []
+            last = -1 if right else 0
+            end = parts[last]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
+                rank = self.ranks.get(parts[best] + parts[best + 1])
+                if rank is None:
+                    at_end = None
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+                if parts[last] != end:
+                    at_end.append((end, rank))
+                    end = parts[last]
+            got = self.spines[key] = [] if at_end is None else [*at_end, (end, 1 << 60)]
+        return got
+
     def _fit(self, before: int, token: int) -> bool:
-        """Whether token may follow before (-1: the start)."""
-        got = self.fits.get((before, token))
+        """Whether token may follow before (-1: the start): no merge across their border comes first.
+
+        At the border meet a part of each. A merge of the two wins if its rank is below the rank at which the left part grows, and
+        not above that at which the right one does, as of equal ranks the leftmost merges first.
+        """
+        key = (before + 1) << 32 | token
+        got = self.fits.get(key)
         if got is None:
-            first = b"" if before < 0 else self.bytes_of[before]
-            got = self.fits[before, token] = merge(first + self.bytes_of[token], self.ranks) == ([token] if before < 0 else [before, token])
+            b = self._spine(token, False)
+            if before < 0:
+                got = bool(b)
+            else:
+                a = self._spine(before, True)
+                got, i, j, rank_of = bool(a and b), 0, 0, self.ranks.get
+                while got:
+                    (x, grows), (y, follows) = a[i], b[j]
+                    m = rank_of(x + y)
+                    if m is not None and m < grows and m <= follows:
+                        got = False
+                    elif i + 1 == len(a) and j + 1 == len(b):
+                        break
+                    elif grows <= follows:
+                        i += 1
+                    else:
+                        j += 1
+            self.fits[key] = got
         return got
 
     def _advance(self, state: int, byte: int) -> tuple[int, bytes]:
-        last, places = self.states[state]
-        alive, here = [], None
-        for node, path in places:
+        flat = self.states[state]
+        last, at = flat[0], 1
+        alive: list[tuple[int, tuple[int, ...]]] = []
+        here = None
+        while at < len(flat):
+            node, n = flat[at], flat[at + 1]
+            path = flat[at + 2 : at + 2 + n]
+            at += 2 + n
             node = self.child.get(node << 8 | byte)
             if node is None:
                 continue
@@ -98,13 +153,16 @@ class Transducer:
         k = 0
         while k < shared and all(p[k] == here[k] for _, p in alive):
             k += 1
-        to = (here[k - 1] if k else last, tuple((n, p[k:]) for n, p in alive))
+        to = [here[k - 1] if k else last]
+        for n, p in alive:
+            to += (n, len(p) - k, *p[k:])
+        to = tuple(to)
         i = self.ids_of.get(to)
         if i is None:
             i = self.ids_of[to] = len(self.states)
             self.states.append(to)
-            self.ends.append(np.array(here[k:], "<u4").tobytes())
-        return i, np.array(here[:k], "<u4").tobytes()
+            self.ends.append(_packed(here[k:]))
+        return i, _packed(here[:k])
 
     def encode(self, piece: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
