@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import search as S
 from folioscope.functions import text as T
 from folioscope.plans.registry import query
+from folioscope.workers import ship
 
 #: The accented letters of the driver's tables, for the oracles.
 _FROM, _TO = "üöäèéÉêçÈñóíÇÑÖÊÄÜÓÍßáâîúÁÂÎÚàÀ", "uoaeeEecEnoiCNOEAUOIsaaiuAAIUaA"
@@ -23,6 +24,7 @@ def _clean(c: str) -> str:
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
