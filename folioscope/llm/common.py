@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.workers import ship
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -222,7 +222,7 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, broa
     Texts without words have no perplexity and are rejected. A null language is a language. Without trusted text nothing has a limit and nothing but empty texts is rejected.
     """
     tables = model_tables(counted(trusted.select(text_or_empty().alias("text"))))
-    known = with_perplexity(trusted.select("lang", "text"), tables, broadcast_entries)
+    known = written(with_perplexity(trusted.select("lang", "text"), tables, broadcast_entries).select("lang", "perplexity"), "trusted")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     rows = known.where("perplexity is not null").groupBy("lang").agg(F.count("*").alias("n"), limit.alias("q")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     general = known.where("perplexity is not null").agg(limit).first()[0] if rows else None
