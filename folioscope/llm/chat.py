@@ -85,15 +85,13 @@ def threaded(rows: DataFrame) -> DataFrame:
     before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
     up = turns.withColumn("previous", before).join(chosen, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted", "previous").alias("reply_to"))
     up = written(up, "replies")
-    # Pointer doubling: after k rounds a message knows the one 2 ** k answers up, or its root and how far that is.
-    state = written(up.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("to"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth")), "depths")
-    while True:
-        far = state.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(far, ["conv_id", "to"]).select("conv_id", "turn", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        moved = written(moved, "depths")
-        state = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
+    # Pointer doubling: after k rounds a message knows the one 2 ** k answers up, or its root and how far that is. Only those that don't know it yet go on.
+    state = written(up.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("to"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth"), F.col("reply_to").isNull().alias("done")), "depths")
+    while not state.where("not done").isEmpty():
+        far = state.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = state.where("not done").join(far, ["conv_id", "to"]).select("conv_id", "turn", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        state = written(state.where("done").unionByName(moved), "depths")
+    state = state.drop("done")
     at = up.join(state.withColumnRenamed("to", "root"), ["conv_id", "turn"]).join(counted, ["conv_id", "turn"], "left")
     order = Window.partitionBy("conv_id").orderBy("root", "depth", "turn", "role", "text")
     out = whole.join(at, ["conv_id", "turn"]).withColumn("position", F.row_number().over(order).cast("long"))
