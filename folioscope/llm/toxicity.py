@@ -27,7 +27,7 @@ PRIOR, LEAST_DOCUMENTS = 200.0, 8
 #: Weight of a word that says nothing: below 0, so that segments end.
 DRIFT = -0.25
 #: Log-odds must be so many standard deviations from 0; they count beyond that.
-SURE = 4.0
+SURE = 3.0
 MOST_WORDS = 200_000
 THRESHOLD = 0.3
 _words = re.compile(r"\w+").findall
