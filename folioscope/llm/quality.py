@@ -7,17 +7,17 @@ An n-gram of up to five symbols is one integer, 12 bits a symbol. 1 starts a wor
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import Memo, table, text_or_empty, written
+from folioscope.llm.common import table, text_or_empty, written
 
 ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
@@ -27,8 +27,8 @@ QUANTILE = 0.995
 BROADCAST_ENTRIES = 3_000_000
 #: Trusted ids (8 bytes each) up to which they are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Words that a worker remembers in each of two generations, and distinct words after which counts are handed on.
-REMEMBERED, HANDED_ON = 400_000, 400_000
+#: Characters that are taken at a time (a longer single word is taken whole), words of one text in them, and distinct n-grams after which counts are handed on.
+CHARACTERS, WORDS, HANDED_ON = 1 << 21, 100_000, 2_000_000
 #: Languages that can have a limit of their own; those with the most trusted documents are taken.
 MOST_LANGUAGES = 10_000
 
@@ -47,25 +47,59 @@ def grams(word: str) -> Iterator[tuple[int, int]]:
             yield min(i + 1, ORDER), key
 
 
+def keys_of(pieces: list[str]) -> np.ndarray:
+    """The keys of grams() for the words of all pieces (words joined by line feeds, none empty), in order: len(piece) + 1 for each.
+
+    A key has no empty symbol below its first one, so its order needn't be kept.
+    """
+    c = np.frombuffer(("\n" + "\n".join(pieces) + "\n").encode("utf-32-le"), "<u4").astype(np.int64)
+    mark = c == ord("\n")
+    c = np.where((c > 2) & (c < 4000), c, 4000 + c % 90)
+    keys, context, open_ = np.where(mark, 2, c)[1:], np.where(mark, 1, c), np.ones(len(c) - 1, bool)
+    for k in range(1, min(ORDER, len(c))):
+        keys[k - 1 :] |= np.where(open_[k - 1 :], context[:-k] << BITS * k, 0)
+        open_[k - 1 :] &= ~mark[:-k]
+    return keys
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    return 1 + sum((keys >> BITS * k > 0).astype(np.int32) for k in range(1, ORDER))
+
+
+def portions(texts: Iterable[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(places of texts, pieces for keys_of) of about CHARACTERS each. How a text is cut depends on nothing but itself."""
+    places, pieces, n = [], [], 0
+    for i, t in enumerate(texts):
+        words = t.split()
+        for k in range(0, len(words), WORDS):
+            places.append(i)
+            pieces.append("\n".join(words[k : k + WORDS]))
+            n += len(pieces[-1])
+            if n > CHARACTERS:
+                yield places, pieces
+                places, pieces, n = [], [], 0
+    if pieces:
+        yield places, pieces
+
+
 def counted(texts: DataFrame) -> DataFrame:
     """(o, key, c): how often each longest n-gram occurs in all words of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        every = (t for batch in batches for t in batch.column(0).to_pylist())
+        held = pd.Series([], index=pd.Index([], dtype=np.int64), dtype=np.int64)
 
         def hand_on() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for w, n in words.items():
-                for g in grams(w):
-                    found[g] += n
-            words.clear()
-            return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int32()), pa.array([k for _, k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["o", "key", "c"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                words.update(t.as_py().split())
-                if len(words) > HANDED_ON:
-                    yield hand_on()
+            keys = held.index.to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(order_of(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(held.to_numpy(), pa.int64())], ["o", "key", "c"])
+
+        for _, pieces in portions(every):
+            codes, keys = pd.factorize(keys_of(pieces))
+            more = pd.Series(np.bincount(codes, minlength=len(keys)), index=keys)
+            held = pd.concat([held, more]).groupby(level=0, sort=False).sum()
+            if len(held) > HANDED_ON:
+                yield hand_on()
+                held = held.iloc[:0]
         yield hand_on()
 
     return texts.select("text").mapInArrow(run, "o int, key long, c long").groupBy("o", "key").agg(F.sum("c").alias("c"))
@@ -116,32 +150,58 @@ def model_tables(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """The tables as dictionaries of order and key in one integer."""
-
-    p: dict[int, float]
-    back: dict[int, float]
-
-    def log_probability(self, o: int, key: int) -> float:
-        """Natural logarithm of the probability of an n-gram's last symbol after the others."""
-        weight = 1.0
-        while o:
-            got = self.p.get(o << 60 | key)
-            if got is not None:
-                return math.log(weight * got)
-            weight *= self.back.get(o - 1 << 60 | key >> BITS, 1.0)
-            o -= 1
-            key &= (1 << BITS * o) - 1
-        return math.log(weight * UNIFORM)
-
-    def word(self, w: str) -> tuple[float, int]:
-        return sum(self.log_probability(o, k) for o, k in grams(w)), len(w) + 1
+    """For each order the sorted keys of its n-grams with their probabilities, and of its contexts with their weights."""
+
+    p: list[tuple[np.ndarray, np.ndarray]]
+    back: list[tuple[np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def _found(entries: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys have an entry, and their values (1 for the others)."""
+        known, values = entries
+        if not len(known):
+            return np.zeros(len(keys), bool), np.ones(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        there = known[at] == keys
+        return there, np.where(there, values[at], 1.0)
+
+    def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of n-grams' last symbols after the others."""
+        out, left, order = np.full(len(keys), UNIFORM), np.arange(len(keys)), order_of(keys)
+        weight = np.ones(len(keys))
+        for o in range(ORDER, 0, -1):
+            of = left[order[left] >= o]
+            key = keys[of] & ((1 << BITS * o) - 1)
+            there, p = self._found(self.p[o], key)
+            out[of[there]] = p[there]
+            weight[of[~there]] *= self._found(self.back[o - 1], key[~there] >> BITS)[1]
+            left = np.concatenate([of[~there], left[order[left] < o]])
+        return np.log(weight * out)
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The sum of logarithms and the number of symbols of each text. Equal texts get equal sums."""
+        sums, symbols_of = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for places, pieces in portions(texts):
+            n = np.array([len(p) + 1 for p in pieces])
+            codes, keys = pd.factorize(keys_of(pieces))
+            np.add.at(sums, places, np.add.reduceat(self.log_probabilities(keys)[codes], np.cumsum(n) - n))
+            np.add.at(symbols_of, places, n)
+        return sums, symbols_of
 
 
 def collected(tables: DataFrame) -> Model:
     t = tables.toArrow()
-    keys = (t.column("o").to_numpy().astype(np.int64) << 60 | t.column("key").to_numpy()).tolist()
-    pick = lambda name: {k: v for k, v in zip(keys, t.column(name).to_pylist(), strict=True) if v is not None}
-    return Model(pick("p"), pick("back"))
+    o, keys = t.column("o").to_numpy(), t.column("key").to_numpy()
+
+    def by_order(name: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        values, out = t.column(name).to_numpy(), []
+        for k in range(ORDER + 1):
+            of = np.flatnonzero((o == k) & ~np.isnan(values.astype(float)))
+            of = of[np.argsort(keys[of])]
+            out.append((keys[of], values[of].astype(float)))
+        return out
+
+    return Model(by_order("p"), by_order("back"))
 
 
 def with_perplexity(docs: DataFrame, tables: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
@@ -153,13 +213,10 @@ def with_perplexity(docs: DataFrame, tables: DataFrame, broadcast_entries: int =
     keep = [k for k, n in enumerate(names) if n != "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(shared.value.word, REMEMBERED)
         for batch in batches:
-            out = []
-            for t in batch.column(batch.num_columns - 1):
-                got = list(map(memo.__getitem__, t.as_py().split()))
-                out.append(math.exp(-sum(x for x, _ in got) / sum(n for _, n in got)) if got else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(out, pa.float64())], [*(names[k] for k in keep), "perplexity"])
+            sums, n = shared.value.texts(batch.column(batch.num_columns - 1).to_pylist())
+            out = pa.array(np.exp(-sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), out], [*(names[k] for k in keep), "perplexity"])
 
     schema = ", ".join([f"`{names[k]}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["perplexity double"])
     return docs.withColumn("_text", text_or_empty()).mapInArrow(run, schema)

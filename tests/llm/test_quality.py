@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from folioscope.llm import quality
@@ -96,3 +97,17 @@ def test_nothing_trusted_and_no_rows(spark):
     docs = frame(spark, ROWS)
     assert {bool(r.text and r.text.strip()) == (not r.rejected) for r in quality.judged(docs, docs.limit(0)).collect()} == {True}
     assert quality.judged(docs.limit(0), docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("characters, words", [(1 << 21, 100_000), (1, 1), (7, 3)])
+def test_keys_of_many_words_are_those_of_each(monkeypatch, characters, words):
+    monkeypatch.setattr(quality, "CHARACTERS", characters)
+    monkeypatch.setattr(quality, "WORDS", words)
+    texts = ["a the\x01 \x02\x00 then", "", "  ", "\U0001f600x ྠ ྟ y", "z", "longer words here and there"]
+    got = [(i, quality.keys_of([p]).tolist()) for places, pieces in quality.portions(texts) for i, p in zip(places, pieces, strict=True)]
+    whole = [k for _, pieces in quality.portions(texts) for k in quality.keys_of(pieces).tolist()]
+    want = [[g for w in t.split() for g in quality.grams(w)] for t in texts]
+    for i, w in enumerate(want):
+        assert [k for j, ks in got if j == i for k in ks] == [k for _, k in w]
+    assert whole == [k for w in want for _, k in w]
+    assert quality.order_of(np.array(whole)).tolist() == [o for w in want for o, _ in w]
