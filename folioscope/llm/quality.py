@@ -23,6 +23,8 @@ ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
 UNIFORM = 1.0 / (1 << BITS)
 QUANTILE = 0.995
+#: One in so many trusted texts, by hash, gives limits instead of counts: texts that a model was trained on have lower perplexity than others as good.
+HELD_OUT = 5
 #: Entries (16 bytes each) up to which every task gets the whole model; a larger one stays sharded, and distinct words are scored by joins.
 BROADCAST_ENTRIES = 3_000_000
 #: Trusted ids (8 bytes each) up to which they are broadcast to the scan of the texts; more are joined by a shuffle.
@@ -274,12 +276,14 @@ def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with perplexity, limit (the quantile of trusted documents of the language, or of all where it has none) and rejected (boolean).
+    """docs with perplexity, limit (the quantile of held-out trusted documents of the language, or of all where it has none) and rejected (boolean).
 
-    Texts without words have no perplexity and are rejected. A null language is a language. Without trusted text nothing has a limit and nothing but empty texts is rejected.
+    The model is trained on the other trusted documents. Texts without words have no perplexity and are rejected. A null language is a
+    language. Without held-out trusted text nothing has a limit and nothing but empty texts is rejected.
     """
-    tables = model_tables(counted(trusted.select(text_or_empty().alias("text"))))
-    known = written(with_perplexity(trusted.select("lang", "text"), tables, broadcast_entries).select("lang", "perplexity"), "trusted")
+    held_out = F.pmod(F.xxhash64(text_or_empty()), F.lit(HELD_OUT)) == 0
+    tables = model_tables(counted(trusted.where(~held_out).select(text_or_empty().alias("text"))))
+    known = written(with_perplexity(trusted.where(held_out).select("lang", "text"), tables, broadcast_entries).select("lang", "perplexity"), "trusted")
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     rows = known.where("perplexity is not null").groupBy("lang").agg(F.count("*").alias("n"), limit.alias("q")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     general = known.where("perplexity is not null").agg(limit).first()[0] if rows else None
