@@ -242,8 +242,9 @@ def _check(data: bytes, s: Stream, headers: list[Header]) -> None:
 
 
 # Storing: MPEG-1 layer III, 48 kHz, mono, with checksums. 3 bytes of frame for each kbit/s; 23 are header, checksum and side information.
+# Behind the payload of a frame are at least 128 zeros, so that no payload lies where a reader looks for closing tags (ID3v1, APE).
 _OVERHEAD = 23
-_BY_UNITS = {4: 320, 3: 224, 2: 160, 1: 80}
+_BY_UNITS = {4: 320, 3: 256, 2: 192, 1: 128}
 
 
 def _frame_start(kbps: int) -> bytes:

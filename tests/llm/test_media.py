@@ -57,6 +57,17 @@ def test_round_trip_with_junk_tags_and_damage(n):
         assert got.frames == s.frames - 1 and got.skipped == s.lengths[1]
 
 
+@pytest.mark.parametrize("units", range(1, 9))
+def test_letters_of_closing_tags_anywhere_in_a_text(units):
+    for mark in (b"TAG", b"APETAGEX"):
+        for at in range(units * 192 - len(mark) + 1):
+            payload = (b"x" * at + mark).ljust(units * 192)
+            data = media.store(payload, at + len(mark))
+            s = media.parse(data)
+            assert media.payload_of(data, s) == payload, (mark, at)
+            assert s.tags == {"payload_bytes": str(at + len(mark))} and s.skipped == 0
+
+
 def test_no_audio():
     for data in (b"", b"\xff" * 50, b"ID3\x03\x00\x00\x00\x00\x00\x01", b"hello" * 100):
         s = media.parse(data)
