@@ -1,12 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams within words, trained on trusted text.
 
 Counts, continuation counts, contexts and lower orders are tables joined on their keys, sharded by them. A document's perplexity is
-that of the characters of all its words; documents above the quantile of their language's trusted documents are rejected.
+that of the characters of all its words; documents above a limit from their language's held-out trusted documents are rejected.
 An n-gram of up to five symbols is one integer, 12 bits a symbol. 1 starts a word (only as context) and 2 ends it.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ BROADCAST_ENTRIES = 3_000_000
 BROADCAST_IDS = 1_000_000
 #: Characters that are taken at a time (a longer single word is taken whole), words of one text in them, and distinct n-grams after which counts are handed on.
 CHARACTERS, WORDS, HANDED_ON = 1 << 21, 100_000, 2_000_000
+#: Held-out documents from which a language's own quantile is its limit. With fewer the quantile is about their maximum, which one in n + 1 good documents exceeds.
+LEAST_HELD_OUT = 200
 #: Languages that can have a limit of their own; those with the most trusted documents are taken.
 MOST_LANGUAGES = 10_000
 
@@ -275,8 +278,33 @@ def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
+def language_limits(known: DataFrame, quantile: float = QUANTILE) -> tuple[dict[str | None, float], float | None]:
+    """Limits by language and the general one, from (lang, perplexity) of held-out trusted documents.
+
+    A language with few of them has its mean logarithm and the spread that all languages share around their means, widened for how
+    little a mean of n says of another document; its own quantile if that is higher.
+    """
+    known = known.where("perplexity is not null").withColumn("x", F.log("perplexity"))
+    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
+    by = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), limit.alias("q")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES), "languages")
+    rows = by.collect()
+    if not rows:
+        return {}, None
+    general = known.agg(limit).first()[0]
+    around = F.broadcast(by.where("n > 1").select(F.col("lang").alias("of"), "n", "mean"))
+    off = (F.col("x") - F.col("mean")) * F.sqrt(F.col("n") / (F.col("n") - 1))
+    spread = known.join(around, F.col("lang").eqNullSafe(F.col("of"))).agg(F.percentile_approx(off, F.lit(quantile), F.lit(10_000))).first()[0]
+
+    def of(r) -> float:
+        if r.n >= LEAST_HELD_OUT:
+            return r.q
+        return max(r.q, general if spread is None else math.exp(r["mean"] + max(0.0, spread) * math.sqrt(1 + 1 / r.n)))
+
+    return {r.lang: of(r) for r in rows}, general
+
+
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with perplexity, limit (the quantile of held-out trusted documents of the language, or of all where it has none) and rejected (boolean).
+    """docs with perplexity, limit (language_limits of held-out trusted documents, the general one where a language has none) and rejected (boolean).
 
     The model is trained on the other trusted documents. Texts without words have no perplexity and are rejected. A null language is a
     language. Without held-out trusted text nothing has a limit and nothing but empty texts is rejected.
@@ -284,11 +312,8 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, broa
     held_out = F.pmod(F.xxhash64(text_or_empty()), F.lit(HELD_OUT)) == 0
     tables = model_tables(counted(trusted.where(~held_out).select(text_or_empty().alias("text"))))
     known = written(with_perplexity(trusted.where(held_out).select("lang", "text"), tables, broadcast_entries).select("lang", "perplexity"), "trusted")
-    limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    rows = known.where("perplexity is not null").groupBy("lang").agg(F.count("*").alias("n"), limit.alias("q")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    general = known.where("perplexity is not null").agg(limit).first()[0] if rows else None
+    limits, general = language_limits(known, quantile)
     own = F.lit(general).cast("double")
-    limits = {r.lang: r.q for r in rows}
     if named := {k: v for k, v in limits.items() if k is not None}:
         own = F.coalesce(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("lang")], own)
     if None in limits:

@@ -93,6 +93,27 @@ def test_rejection(spark):
     assert sum(got[i] for i in range(80, 120)) <= 4
 
 
+def test_limits_of_languages_with_few_held_out_documents(spark):
+    r = random.Random(4)
+    draw = lambda mean: math.exp(r.gauss(mean, 0.2))
+    few = [(f"l{k}", 3 + k % 5 / 2, 1 + k % 7) for k in range(300)]
+    rows = [("many", draw(3)) for _ in range(2000)] + [(None, draw(4)) for _ in range(3)] + [("none", None)] + [(name, draw(mean)) for name, mean, n in few for _ in range(n)]
+    known = spark.createDataFrame(rows, "lang string, perplexity double")
+    most = {name: max(p for lang, p in rows if lang == name) for name, *_ in few}
+    limits, general = quality.language_limits(known)
+    assert "none" not in limits and None in limits
+    assert limits["many"] == known.where("lang = 'many'").selectExpr("percentile_approx(perplexity, 0.995, 10000)").first()[0]
+    new = [(name, draw(mean)) for name, mean, _ in few for _ in range(20)]
+    # By the maximum of a language's few documents, which their quantile is, many good ones are lost.
+    assert sum(p > most[name] for name, p in new) > 0.2 * len(new)
+    assert sum(p > limits[name] for name, p in new) < 0.02 * len(new)
+    # What is far from a language is still rejected.
+    assert sum(math.exp(mean + 2) > limits[name] for name, mean, _ in few) == len(few)
+    alone = spark.createDataFrame([("a", 5.0), ("b", 9.0)], "lang string, perplexity double")
+    assert quality.language_limits(alone) == ({"a": 9.0, "b": 9.0}, 9.0)
+    assert quality.language_limits(alone.limit(0)) == ({}, None)
+
+
 def test_nothing_trusted_and_no_rows(spark):
     docs = frame(spark, ROWS)
     assert {bool(r.text and r.text.strip()) == (not r.rejected) for r in quality.judged(docs, docs.limit(0)).collect()} == {True}
