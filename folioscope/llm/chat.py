@@ -49,6 +49,84 @@ def parse(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     return kept, list({digest(n) for line in own if (n := normal(line))}), list(dict.fromkeys(quoted))
 
 
+#: Words of a shingle.
+SHINGLE = 4
+_sentence = re.compile(r"(?<=[.!?])\s+")
+
+
+def wordings(lines: list[str]) -> list[list[tuple[int, bool]]]:
+    """For each line of a passage the (hash, whole sentence or not) of the sentences and word shingles of the passage that have a word in it.
+
+    Line breaks count as blanks and closing marks of sentences not at all, so neither depends on how the passage is wrapped.
+    """
+    words, line_of, first = [], [], set()
+    for sentence in _sentence.split("\n".join(lines)):
+        first.add(len(words))
+        words += sentence.lower().split()
+    for k, line in enumerate(lines):
+        line_of += [k] * len(line.split())
+    ends = sorted(first - {len(words)}) + [len(words)]
+    out: list[list[tuple[int, bool]]] = [[] for _ in lines]
+    spans = [(a, b, True) for a, b in zip(ends, ends[1:], strict=False)] + [(a, a + SHINGLE, False) for a in range(len(words) - SHINGLE + 1)]
+    for a, b, whole in spans:
+        wording = " ".join(w.rstrip(".!?") for w in words[a:b]).strip()
+        if wording:
+            h = digest(("s" if whole else "w") + wording)
+            for k in range(line_of[a], line_of[b - 1] + 1):
+                out[k].append((h, whole))
+    return out
+
+
+def quoted_wordings(text: str) -> list[tuple[int, int, int, bool]]:
+    """(hash of the line, level, hash of a wording, whole sentence or not) of quoted lines. Lines of a level without one of another level or an empty one between them are a passage."""
+    out, passage, before = [], [], 0
+    for level, line in [*levels(text), (0, "")]:
+        if passage and (level != before or not line.strip()):
+            for own, found in zip(passage, wordings(passage), strict=True):
+                out += [(digest(normal(own)), before, h, whole) for h, whole in found]
+            passage = []
+        if level and line.strip():
+            passage.append(line)
+        before = level
+    return list(dict.fromkeys(out))
+
+
+def rewrapped(rows: DataFrame, whole: DataFrame, left: DataFrame) -> DataFrame:
+    """(conv_id, turn, hash, source) of quoted lines (left, which no message has as a line) by the wordings of their passages.
+
+    A wording belongs to the earliest message that has it. A line is linked if a whole sentence in it, or half of its shingles or more,
+    belong to earlier messages: to the one with most of them, or the earliest of such.
+    """
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(c, t, *q) for c, t, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for q in quoted_wordings(text)]
+            columns = list(zip(*got, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "hash", "level", "wording", "sentence"])
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(c, t, h) for c, t, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for h in {h for line in wordings(text.split("\n")) for h, _ in line}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*got, strict=True)) or [[]] * 3], ["conv_id", "turn", "wording"])
+
+    raw = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_or_empty().alias("text"))
+    asks = raw.join(left.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi").mapInArrow(asked, "conv_id long, turn long, hash long, level int, wording long, sentence boolean")
+    asks = asks.join(left, ["conv_id", "turn", "hash"], "left_semi").select("conv_id", "turn", "hash", "wording", "sentence").distinct()
+    owns = whole.join(left.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(owned, "conv_id long, turn long, wording long")
+    first = owns.groupBy("conv_id", "wording").agg(F.min("turn").alias("source"))
+    met = asks.join(first, ["conv_id", "wording"], "left").withColumn("source", F.expr("CASE WHEN source < turn THEN source END"))
+    each = met.groupBy("conv_id", "turn", "hash", "source").agg(F.count("*").alias("n"), F.count_if("sentence").alias("sentences"))
+    there = F.col("source").isNotNull()
+    lines = each.groupBy("conv_id", "turn", "hash").agg(
+        F.max(F.when(there, F.struct("n", -F.col("source"), "source"))).alias("best"),
+        F.sum(F.when(there, F.col("sentences")).otherwise(0)).alias("sentences"),
+        F.sum(F.when(there, F.col("n") - F.col("sentences")).otherwise(0)).alias("found"),
+        F.sum(F.col("n") - F.col("sentences")).alias("shingles"),
+    )
+    return lines.where("best is not null and (sentences > 0 or 2 * found >= shingles)").select("conv_id", "turn", "hash", F.col("best.source").alias("source"))
+
+
 PARSED = "conv_id long, turn long, role string, text string, own array<long>, quotes array<struct<level:int,hash:bigint>>"
 
 
@@ -66,7 +144,8 @@ def parsed(rows: DataFrame) -> DataFrame:
 def threaded(rows: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, text) in reply order: reply_to, n_quotes, n_linked, depth, root and position, with text free of quotes.
 
-    A quoted line belongs to the earliest message of its conversation that has it as its own line, before the quoting one. A message
+    A quoted line belongs to the earliest message of its conversation that has it as its own line, before the quoting one; a line that
+    none has, as it was rewrapped or trimmed, to the one that has the sentences or words of its passage (see rewrapped). A message
     answers the message that most of its quoted lines belong to (ties: the outermost level, then the latest); without such lines
     it answers the turn before it, and the first turn answers nothing. position orders a conversation by root, depth and turn, so
     that every message comes after the one it answers. Rows that share a turn are variants of one message: they answer and are
@@ -79,6 +158,10 @@ def threaded(rows: DataFrame) -> DataFrame:
     first = whole.select("conv_id", "turn", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     asked = whole.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash").groupBy("conv_id", "turn", "hash").agg(F.min("level").alias("level"))
     met = asked.join(first, ["conv_id", "hash"], "left").withColumn("source", F.expr("CASE WHEN source < turn THEN source END"))
+    left = written(met.where("source is null").select("conv_id", "turn", "hash"), "unlinked")
+    if not left.isEmpty():
+        more = rewrapped(rows, whole, left).withColumnRenamed("source", "more")
+        met = written(met.join(more, ["conv_id", "turn", "hash"], "left").withColumn("source", F.coalesce("source", "more")).drop("more"), "linked")
     counted = met.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"))
     votes = met.where("source is not null").groupBy("conv_id", "turn", "source").agg(F.count("*").alias("n"), F.min("level").alias("level"))
     chosen = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", -F.col("level"), "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("quoted"))

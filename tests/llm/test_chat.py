@@ -64,3 +64,27 @@ def test_replies_by_brute_force(spark):
     assert {(x.conv_id, x.turn): (x.reply_to, x.n_linked, x.depth) for x in got} == want
     at = {(x.conv_id, x.turn): x.position for x in got}
     assert all(x.reply_to is None or at[x.conv_id, x.reply_to] < x.position for x in got)
+
+
+def test_rewrapped_and_trimmed_quotes(spark):
+    long = "The parcel left the depot on Monday. It was weighed twice before noon, and nobody signed for it. Please ask the driver."
+    rows = [
+        (1, 0, "user", long, 0),
+        (1, 1, "assistant", "A first reply\nwhich the writer had wrapped by hand\nover three short lines", 0),
+        (1, 2, "user", "Something else between them", 0),
+        # One line quoted as several, several as one, a sentence alone, a part of a sentence, and words that no one wrote.
+        (1, 3, "user", "> The parcel left the depot on\n> Monday. It was weighed twice before noon, and\n> nobody signed for it.\nSo?", 0),
+        (1, 4, "user", "> A first reply which the writer had wrapped by hand over three short lines\nYes", 0),
+        (1, 5, "user", ">> Please ask the driver.\nDone", 0),
+        (1, 6, "user", "> ... weighed twice before noon, and nobody signed\nWhy", 0),
+        (1, 7, "user", "> The parcel left by ship and never came near any depot at all\nNo", 0),
+        (2, 0, "user", "An unrelated start", 0),
+        (2, 1, "user", "> It was weighed twice before noon, and nobody signed for it.\nHm", 0),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in chat.threaded(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got[1, 3] == (0, 3, 3)
+    assert got[1, 4] == (1, 1, 1)
+    assert got[1, 5] == (0, 1, 1)
+    assert got[1, 6] == (0, 1, 1)
+    assert got[1, 7] == (6, 1, 0)
+    assert got[2, 1] == (0, 1, 0)
