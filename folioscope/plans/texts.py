@@ -184,9 +184,12 @@ def find_content_exact(spark, d):
 
 @query("approximate_search")
 def approximate_search(spark, d):
-    """Each message's first words looked for in the next message, with edits."""
-    p = pairs(spark, d).withColumn("needle", F.array_join(F.slice(T.tokens(F.col("x")), 1, 3), " ")).withColumn("places", S.search_column("needle", "y", 0.7))
-    return p.select("conv_id", "turn", "needle", F.size("places").alias("n_places"), F.get("places", 0)["distance"].alias("first_distance"))
+    """Each whole line of a message looked for in the whole next message, with edits: all places, offsets in its normalised text."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    lines = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text")).select("conv_id", "turn", "line", clean("text").alias("needle")).where("needle <> ''")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), clean("text").alias("y"))
+    p = lines.join(after, ["conv_id", "turn"]).withColumn("places", S.search_column("needle", "y", 0.7))
+    return p.select("conv_id", "turn", "line", "needle", F.size("places").alias("n_places"), F.get("places", 0)["distance"].alias("first_distance"), "places")
 
 
 @query("bag_frequencies", f"SELECT lang, w AS word, count(*) AS n FROM (SELECT lang, unnest(string_split({_clean('text')}, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY ALL")
