@@ -67,6 +67,15 @@ def _series(f, kind: str):
 nfkc = _series(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string")
 
 
+#: Common characters that NFKC leaves as they are, alone and beside each other: a text of nothing else needn't leave the JVM.
+STABLE = r"\u0000-\u007f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff\u2013\u2014\u2018-\u201e\u2022\u20ac"
+
+
+def compatible(c: Column) -> Column:
+    """NFKC; only texts that it may change go to Python."""
+    return F.coalesce(nfkc(F.when(c.rlike(f"[^{STABLE}]"), c)), c)
+
+
 def dehyphenate(c: Column) -> Column:
     """A word broken at a line's end is joined if it goes on in lower case."""
     return F.regexp_replace(c, r"(\p{L})-[ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")
@@ -83,7 +92,7 @@ def drop_noise(c: Column) -> Column:
 
 def normalise(c: Column, compatibility: bool = True, punctuation: bool = True, confusables: bool = False) -> Column:
     """NFKC, typography, dehyphenation, diacritics, lower case, noise, [punctuation], [confusables], white space - in this order."""
-    c = nfkc(c) if compatibility else c
+    c = compatible(c) if compatibility else c
     c = F.lower(fold_diacritics(dehyphenate(fold_typography(c))))
     c = drop_noise(c)
     if not punctuation:

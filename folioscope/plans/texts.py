@@ -29,8 +29,8 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def clean(c: str):
-    """The driver's texts are in NFKC already, so the column stays in the JVM."""
-    return T.normalise(F.col(c), compatibility=False)
+    """Normalised by the operator's defaults."""
+    return T.normalise(F.col(c))
 
 
 @query("normalise_text", f"SELECT doc_id, {_clean('text')} AS normalised FROM documents")

@@ -32,3 +32,27 @@ def test_needles_are_whole_lines(spark, put):
     assert (got[0, 2].n_places, got[0, 2].first_distance) == (0, None)
     # The first three words alone would be found here.
     assert got[1, 0].n_places == 0
+
+
+FULL = [(1, "ＦＵＬＬ Ｗｉｄｔｈ １２３", "en"), (2, "a ﬁne oﬃce", "en"), (3, "Café ① ㎏ ™", "en"), (4, "plain – “ascii” nearly, é", "en"), (5, None, "en"), (6, "full width 123 here", "en")]
+
+
+def test_compatibility_forms(spark, put):
+    d = put("documents", FULL, "doc_id long, text string, lang string")
+    q = registry.queries()
+    got = {r.doc_id: r.normalised for r in q["normalise_text"](spark, d).collect()}
+    assert got == {1: "full width 123", 2: "a fine office", 3: "cafe 1 kg tm", 4: 'plain "ascii" nearly, e', 5: None, 6: "full width 123 here"}
+    words = {r.word: r.n for r in q["bag_frequencies"](spark, d).collect()}
+    assert words["full"] == 2 and words["123"] == 2 and words["fine"] == 1
+    assert q["tokenise_count"](spark, d).first().words == 3 + 3 + 4 + 4 + 4
+    put("benchmark", [(7, "Full ｗｉｄｔｈ 123")], "item_id long, text string")
+    assert [tuple(r) for r in q["find_content_exact"](spark, d).collect()] == [(7, 2, 1)]
+    put("conversations", [(1, 0, "oﬃce １"), (1, 1, "office 1")], "conv_id long, turn long, text string")
+    assert q["levenshtein_similarity"](spark, d).first().similarity == 1
+
+
+def test_stable_characters_are_those_that_nfkc_keeps():
+    stable = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and re.match(f"[{text.STABLE}]", c)]
+    # Each alone, and none of them takes part in a composition: no starter of a pair that composes ends in one of them.
+    assert all(unicodedata.is_normalized("NFKC", c) and unicodedata.combining(c) == 0 for c in stable)
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in stable for b in stable)
