@@ -120,12 +120,18 @@ def merge_boxes(boxes: list[dict], gap: int) -> list[dict]:
 def despeckle(image: np.ndarray, radius: int = 1) -> np.ndarray:
     """Medians of windows clipped at the borders; of an even number the upper middle."""
     h, w = image.shape
+    side = 2 * radius + 1
     out = np.empty_like(image)
-    for y in range(h):
-        rows = image[max(0, y - radius) : y + radius + 1]
-        for x in range(w):
-            v = np.sort(rows[:, max(0, x - radius) : x + radius + 1], axis=None)
-            out[y, x] = v[len(v) >> 1]
+    wide = np.pad(image.astype(np.float64), radius, constant_values=np.inf)
+    across = np.minimum(np.arange(w) + radius + 1, w) - np.maximum(np.arange(w) - radius, 0)
+    # A strip of rows at a time; what lies outside the image sorts behind all that counts.
+    for y in range(0, h, 64):
+        n = min(64, h - y)
+        windows = np.lib.stride_tricks.sliding_window_view(wide[y : y + n + 2 * radius], (side, side)).reshape(n, w, side * side)
+        rows = np.arange(y, y + n)
+        down = np.minimum(rows + radius + 1, h) - np.maximum(rows - radius, 0)
+        middle = down[:, None] * across[None, :] >> 1
+        out[y : y + n] = np.take_along_axis(np.sort(windows, axis=2), middle[:, :, None], 2)[:, :, 0]
     return out
 
 
@@ -220,6 +226,26 @@ def warp(image: np.ndarray, matrix: np.ndarray, shape: tuple[int, int], fill: fl
     return out.reshape(h, w)
 
 
+def estimate_matrix(original: np.ndarray, scan: np.ndarray) -> np.ndarray:
+    """The matrix from page to scan, a turn about the centre and a shift, from the images alone: the difference of their skews, then phase correlation."""
+    h, w = original.shape
+    skew = estimate_skew(binarize(ink_map(scan))) - estimate_skew(binarize(ink_map(original)))
+    t, cx, cy = np.deg2rad(skew), w / 2, h / 2
+    c, s = np.cos(t), np.sin(t)
+    m = np.array([[c, -s, cx - c * cx + s * cy], [s, c, cy - s * cx - c * cy], [0, 0, 1]])
+    for _ in range(2):
+        dx, dy, _ = phase_correlate(original, warp(scan, m, original.shape))
+        m = m @ np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1]])
+    return m
+
+
+def corner_error(a: np.ndarray, b: np.ndarray, shape: tuple[int, int]) -> float:
+    """The largest distance in pixels between where two matrices put the corners of an image."""
+    h, w = shape
+    p, q = (m @ np.array([[0, w, 0, w], [0, 0, h, h], [1, 1, 1, 1]]) for m in (a, b))
+    return float(np.hypot(*(p[:2] / p[2] - q[:2] / q[2])).max())
+
+
 def diff_page(original: np.ndarray, scanned: np.ndarray, dpi: float = 150.0, tolerance: int = 2, min_change: float = 1.0, min_missing: float = 4.0, gap_mm: float = 3.0, most: int = 50) -> dict:
     """Ink that was added to or is missing from a page (gray, registered): boxes with their ink in mm2, the largest first.
 
