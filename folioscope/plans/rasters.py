@@ -134,6 +134,48 @@ def feature_match_knn(spark, d):
     return t.where("distance <= 96 and (d2 is null or distance <= 0.8 * d2) and m.a = a").select("a", "b", "distance")
 
 
+#: Vectors of a block; pairs of blocks are compared at a time.
+BLOCK = 1024
+
+_SIGNS = "list_transform(embedding, lambda x: coalesce(x > 0, false)::INTEGER)"
+
+
+@query(
+    "feature_match_all",
+    f"""WITH s AS (SELECT vec_id, label, len(embedding) AS n, {_SIGNS} AS signs FROM embeddings),
+j AS (SELECT a.vec_id AS a, b.vec_id AS b, a.n, list_sum(list_transform(range(1, a.n + 1), lambda i: (a.signs[i] <> b.signs[i])::INTEGER))::INTEGER AS distance FROM s a JOIN s b ON a.label = b.label AND a.n = b.n AND a.vec_id <> b.vec_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS k FROM j),
+t AS (SELECT a, max(n) AS n, max(b) FILTER (k = 1) AS b, min(distance) FILTER (k = 1) AS d1, min(distance) FILTER (k = 2) AS d2 FROM f GROUP BY a)
+SELECT t.a, t.b, t.d1 AS distance FROM t JOIN t u ON u.a = t.b AND u.b = t.a WHERE 256 * t.d1 <= 96 * t.n AND (t.d2 IS NULL OR t.d1 <= 0.8 * t.d2)""",
+)
+def feature_match_all(spark, d):
+    """Mutual nearest descriptors (signs of all dimensions) of every vector among all others of its label and length, with the ratio test and the limit of 96 in 256 bits; in pairs of blocks."""
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        signs = lambda p: np.array([[v is not None and v > 0 for v in e] for e in p.embedding], np.float32).reshape(len(p), -1)
+        q, base = pdf[pdf["query"]], pdf[~pdf["query"]].sort_values("vec_id")
+        if not len(q) or not len(base):
+            return pd.DataFrame({"a": [], "n": [], "b": [], "distance": []}).astype("int64")
+        x, y, b = signs(q), signs(base), base.vec_id.to_numpy()
+        far = (x.sum(1)[:, None] + y.sum(1)[None, :] - 2 * (x @ y.T)).round().astype(np.int64)
+        far[q.vec_id.to_numpy()[:, None] == b[None, :]] = 1 << 40
+        # The two first of a block are enough for the two first of all; equal distances go by the id, as base is sorted.
+        at = np.argsort(far, axis=1, kind="stable")[:, :2]
+        out = pd.DataFrame({"a": np.repeat(q.vec_id.to_numpy(), at.shape[1]), "n": x.shape[1], "b": b[at].ravel(), "distance": np.take_along_axis(far, at, 1).ravel()})
+        return out[out.distance < 1 << 40]
+
+    s = read(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.size("embedding").alias("n"), "embedding").where("label is not null and vec_id is not null and n >= 0")
+    many = s.groupBy("label", "n").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    s = s.join(many, ["label", "n"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    of = lambda query: s.select("vec_id", "label", "n", "embedding", "block", other.alias("other")).select("vec_id", "label", "n", "embedding", F.lit(query).alias("query"), F.col("block" if query else "other").alias("i"), F.col("other" if query else "block").alias("k"))
+    near = of(True).unionByName(of(False)).groupBy("label", "n", "i", "k").applyInPandas(nearest, "a long, n long, b long, distance long")
+    two = near.groupBy("a", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "b"))), 1, 2).alias("t"))
+    t = two.select("a", "n", F.col("t")[0]["b"].alias("b"), F.col("t")[0]["distance"].alias("distance"), F.get("t", 1)["distance"].alias("d2"))
+    back = t.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return t.join(back, ["a", "b"]).where("256 * distance <= 96 * n and (d2 is null or distance <= 0.8 * d2)").select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
 @query("pdf_sniff", "SELECT page_id, html[1:5] = '%PDF-' AS exact, contains(html[1:1024], '<html') AS early FROM pages")
 def pdf_sniff(spark, d):
     from folioscope.sources import pdf
