@@ -4,27 +4,31 @@ The encoding of a text's prefix that ends at a token is a prefix of that token c
 neighbouring pair is: merging the two tokens' bytes gives the two tokens back. So after each byte exactly one token can end there.
 A state holds, for each earlier place from which some token may still reach further, the trie node reached and the tokens since
 what all those places share; what they share is settled and is emitted. The longest token bounds how long a token can stay open.
-States and transitions are made when a text first needs them.
+States and transitions are made when a text first needs them. Many pieces go through at once, a byte of each at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table, text_or_empty
+from folioscope.llm.common import kept, table, text_or_empty
+from folioscope.llm.pieces import BlankChunks, encoded_batch, spread
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Transitions and compatible pairs that a worker keeps before it starts over, and chunks of text in each of two generations.
-KEPT_TRANSITIONS = 200_000
-REMEMBERED = 150_000
+#: Transitions that a worker keeps before it starts over from the states in use, and compatible pairs of tokens.
+KEPT_TRANSITIONS, KEPT_PAIRS = 300_000, 400_000
+#: Pieces below which bytes are walked one piece after the other.
+NARROW = 24
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,10 +47,6 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def _packed(ids: tuple[int, ...]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Transducer:
     """Ids of one piece of text, byte by byte; whole pieces in ranks are one id, as in rank-file tokenizers."""
 
@@ -67,16 +67,48 @@ class Transducer:
                 node = nxt
             self.token[node] = i
         self.spines: dict[int, list[tuple[bytes, int]]] = {}
-        self._clear()
-
-    def _clear(self) -> None:
         self.fits: dict[int, bool] = {}
-        # A state is the last settled token, then for each place its trie node, the number of its open tokens, and they.
-        start = (-1, 0, 0)
-        self.ids_of = {start: 0}
-        self.states = [start]
-        self.ends = [b""]
-        self.step: dict[int, tuple[int, bytes]] = {}
+        self._forget_emitted()
+        self._start_over([])
+
+    def _forget_emitted(self) -> None:
+        # Emissions are stretches of pool; the first is empty.
+        self.pool, self.first, self.many = array("I"), array("q", [0]), array("i", [0])
+
+    def _start_over(self, states: list[tuple]) -> list[int]:
+        """Only the start and the given states stay; returns their numbers."""
+        self.ids_of: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        #: The emission if a piece ends in a state.
+        self.ends = array("i")
+        #: By state and byte the transition; its next state and its emission.
+        self.step: dict[int, int] = {}
+        self.to, self.emits = array("i"), array("i")
+        # A state is the last settled token, and for each place its trie node and its open tokens.
+        # The last place is that where all bytes so far end, so its open tokens are what an ending piece still emits.
+        return [self._state(s) for s in [(-1, ((0, ()),)), *states]][1:]
+
+    def _emission(self, tokens: tuple[int, ...]) -> int:
+        if not tokens:
+            return 0
+        self.first.append(len(self.pool))
+        self.many.append(len(tokens))
+        self.pool.extend(tokens)
+        return len(self.many) - 1
+
+    def _state(self, state: tuple) -> int:
+        i = self.ids_of.get(state)
+        if i is None:
+            i = self.ids_of[state] = len(self.states)
+            self.states.append(state)
+            self.ends.append(-1)
+        return i
+
+    def _end(self, i: int) -> int:
+        """The emission if a piece ends in state i."""
+        if self.ends[i] < 0:
+            self.ends[i] = self._emission(self.states[i][1][-1][1])
+        return self.ends[i]
 
     def _spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
         """The parts of a token at its right or left end, from a byte to the whole, each with the rank at which it becomes the next; empty if merging its bytes doesn't give it."""
@@ -126,62 +158,107 @@ class Transducer:
                         i += 1
                     else:
                         j += 1
+            if len(self.fits) >= KEPT_PAIRS:
+                self.fits.clear()
             self.fits[key] = got
         return got
 
-    def _advance(self, state: int, byte: int) -> tuple[int, bytes]:
-        flat = self.states[state]
-        last, at = flat[0], 1
-        alive: list[tuple[int, tuple[int, ...]]] = []
-        here = None
-        while at < len(flat):
-            node, n = flat[at], flat[at + 1]
-            path = flat[at + 2 : at + 2 + n]
-            at += 2 + n
-            node = self.child.get(node << 8 | byte)
+    def _transition(self, key: int) -> int:
+        """The transition from a state by a byte (state << 8 | byte), made when it is first needed."""
+        got = self.step.get(key)
+        if got is None:
+            to, emitted = self._advance(self.states[key >> 8], key & 255)
+            to, emitted = self._state(to), self._emission(emitted)
+            got = self.step[key] = len(self.to)
+            self.to.append(to)
+            self.emits.append(emitted)
+        return got
+
+    def _advance(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        last, places = state
+        child, token, inner, fits = self.child, self.token, self.inner, self.fits
+        alive, here, settles = [], None, True
+        for node, path in places:
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            token = self.token[node]
-            if here is None and token >= 0 and self._fit(path[-1] if path else last, token):
-                here = (*path, token)
-            if node in self.inner:
+            if here is None and (t := token[node]) >= 0:
+                before = path[-1] if path else last
+                fit = fits.get((before + 1) << 32 | t)
+                if fit or (fit is None and self._fit(before, t)):
+                    here = (*path, t)
+            if node in inner:
                 alive.append((node, path))
+                if not path:
+                    settles = False
         if here is None:
             raise ValueError(f"no token ends after byte {byte}")
+        if not alive:
+            return (here[-1], ((0, ()),)), here
         alive.append((0, here))
-        shared = min(len(p) for _, p in alive)
-        k = 0
+        if not settles:
+            return (last, tuple(alive)), ()
+        shared, k = min(len(p) for _, p in alive), 0
         while k < shared and all(p[k] == here[k] for _, p in alive):
             k += 1
-        to = [here[k - 1] if k else last]
-        for n, p in alive:
-            to += (n, len(p) - k, *p[k:])
-        to = tuple(to)
-        i = self.ids_of.get(to)
-        if i is None:
-            i = self.ids_of[to] = len(self.states)
-            self.states.append(to)
-            self.ends.append(_packed(here[k:]))
-        return i, _packed(here[:k])
-
-    def encode(self, piece: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return whole.to_bytes(4, "little")
-        if len(self.step) > self.kept or len(self.fits) > self.kept:
-            self._clear()
-        state, out, step = 0, [], self.step
-        for b in piece:
-            key = state << 8 | b
-            to = step.get(key)
-            if to is None:
-                to = step[key] = self._advance(state, b)
-            state, emitted = to
-            if emitted:
-                out.append(emitted)
-        out.append(self.ends[state])
-        return b"".join(out)
+        if not k:
+            return (last, tuple(alive)), ()
+        return (here[k - 1], tuple((n, p[k:]) for n, p in alive)), here[:k]
+
+    def _walk(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces in order of falling length: their emissions, one for each byte and one for the end of each piece, and where those of each piece start."""
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw, source = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), np.cumsum(length) - length
+        start = source + np.arange(len(pieces))
+        out, state = np.zeros(len(raw) + len(pieces), np.int32), np.zeros(len(pieces), np.int64)
+        # The pieces that have a byte k are the first ones.
+        wide = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), "right").tolist()
+        for k, m in enumerate(wide):
+            if m < NARROW:
+                break
+            if len(self.step) > self.kept:
+                known, back = np.unique(state[:m], return_inverse=True)
+                state[:m] = np.array(self._start_over([self.states[i] for i in known.tolist()]), np.int64)[back]
+            codes, keys = pd.factorize(state[:m] << 8 | raw[source[:m] + k])
+            got = np.fromiter(map(self.step.get, keys.tolist(), repeat(-1)), np.int64, len(keys))
+            new = np.flatnonzero(got < 0)
+            if len(new):
+                got[new] = [self._transition(x) for x in keys[new].tolist()]
+            got = got[codes]
+            state[:m] = np.frombuffer(self.to, np.int32)[got]
+            out[start[:m] + k] = np.frombuffer(self.emits, np.int32)[got]
+            over = slice(wide[k + 1] if k + 1 < len(wide) else 0, m)
+            out[start[over] + k + 1] = [self._end(i) for i in state[over].tolist()]
+        else:
+            k, m = len(wide), 0
+        for p in range(m):
+            at, s = int(start[p]), int(state[p])
+            for i in range(k, len(pieces[p])):
+                if len(self.step) > self.kept:
+                    s, *state[p + 1 : m] = self._start_over([self.states[x] for x in (s, *state[p + 1 : m].tolist())])
+                t = self.step.get(s << 8 | pieces[p][i])
+                if t is None:
+                    t = self._transition(s << 8 | pieces[p][i])
+                s = self.to[t]
+                out[at + i] = self.emits[t]
+            out[at + len(pieces[p])] = self._end(s)
+        return out, start
+
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian unsigned 32-bit integers."""
+        got = [self.ranks.get(p, -1) for p in pieces]
+        asked = sorted({p for p, i in zip(pieces, got, strict=True) if i < 0 and p}, key=len, reverse=True)
+        ids: dict[bytes, bytes] = {b"": b""}
+        if asked:
+            if len(self.pool) > self.kept:
+                self._forget_emitted()
+                self._start_over([])
+            out, start = self._walk(asked)
+            many = np.frombuffer(self.many, np.int32)[out].astype(np.int64)
+            flat = spread(np.frombuffer(self.pool, np.uint32), np.frombuffer(self.first, np.int64)[out], many).astype("<u4").tobytes()
+            ends = [*(4 * (np.cumsum(many) - many)[start]).tolist(), len(flat)]
+            ids |= zip(asked, (flat[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True)
+        return [i.to_bytes(4, "little") if i >= 0 else ids[p] for p, i in zip(pieces, got, strict=True)]
 
 
 class Splitter:
@@ -269,15 +346,31 @@ class Codec:
     """Encodes whole texts and decodes streams of ids."""
 
     #: Ids that are decoded at a time.
-    STREAM = 4096
+    STREAM = 1 << 16
 
-    def __init__(self, path: str, pattern: str):
-        from folioscope.llm.pieces import BlankChunks
-
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, transitions: int = KEPT_TRANSITIONS):
+        self.transducer = Transducer(read_ranks(path), transitions)
         self.split = Splitter(pattern).pieces
-        self.chunks = BlankChunks(lambda text: b"".join([self.transducer.encode(p.encode()) for p in self.split(text)]), REMEMBERED)
-        self.encode = self.chunks.encode
+        self.chunks = BlankChunks(lambda words: self._cut(words, " "), lambda words: self._cut(words, "\n"), self._whole, "<u4")
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(self.transducer.encode_many([p.encode() for p in self.split(text)]))
+
+    def _cut(self, words: list[str], space: str) -> list[bytes]:
+        """Ids of words that follow that white space each; a piece that starts with it starts a word's ids."""
+        if not words:
+            return []
+        pieces = self.split(space + space.join(words))
+        codes, told = pd.factorize(np.array(pieces, object))
+        ids = self.transducer.encode_many([p.encode() for p in told.tolist()])
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        opens = np.fromiter((p[0] == space for p in told.tolist()), bool, len(told))[codes]
+        ends = [*(np.cumsum(length[codes]) - length[codes])[opens].tolist(), int(length[codes].sum())]
+        flat = b"".join(map(ids.__getitem__, codes.tolist()))
+        return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return self.chunks.encode(texts)
 
     def decode(self, ids: np.ndarray) -> Iterator[tuple[bytes, str]]:
         """Bytes and complete characters of each stretch of the stream. Ids outside the vocabulary raise KeyError."""
@@ -288,13 +381,8 @@ class Codec:
         machine.finish()
 
 
-_codecs: dict = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return kept(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -303,38 +391,56 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.encode(t.as_py()) for t in batch.column(1)], pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+            got = [x.tobytes() for x in encoded_batch(c, batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_chars long"
+
+
+def _digests(c: Codec, doc_ids: pa.Array, every: Iterator[np.ndarray]) -> pa.RecordBatch:
+    rows = []
+    for ids in every:
+        digest, n_bytes, n_chars = hashlib.sha256(), 0, 0
+        for data, text in c.decode(ids):
+            digest.update(data)
+            n_bytes += len(data)
+            n_chars += len(text)
+        rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), digest.hexdigest(), n_bytes, n_chars))
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([doc_ids, *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], [f.split()[0] for f in DIGEST.split(", ")])
+
+
 def decoded_digest(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document of encoded(): the number and digest of its ids, and digest, bytes and characters of the text they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                raw = x.as_py()
-                digest, n_bytes, n_chars = hashlib.sha256(), 0, 0
-                for data, text in c.decode(np.frombuffer(raw, "<u4")):
-                    digest.update(data)
-                    n_bytes += len(data)
-                    n_chars += len(text)
-                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), digest.hexdigest(), n_bytes, n_chars))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "n_chars"])
-
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_chars long")
+            yield _digests(c, batch.column(0), (np.frombuffer(x.as_py(), "<u4") for x in batch.column(1)))
+
+    return ids.mapInArrow(run, DIGEST)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """decoded_digest(encoded(docs)) in one pass: a task has one worker with one vocabulary, and no ids travel between two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in batches:
+            yield _digests(c, batch.column(0), encoded_batch(c, batch.column(1)))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, DIGEST)
 
 
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path = P.path(VOCABULARY)
-    return decoded_digest(encoded(table(spark, sf_dir, "documents"), path, P.PATTERN), path, P.PATTERN)
+    return round_trip(table(spark, sf_dir, "documents"), path, P.PATTERN)
 
 
 QUERIES = {"op6_bpe_transducer": op6_bpe_transducer}

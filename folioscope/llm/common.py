@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or where it is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset a local session (as in tests) gets a folder of our own; on a cluster no folder of the driver's would do, so RuntimeError is raised.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="folioscope-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -76,21 +84,25 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {most} rounds")
 
 
-class Memo(dict):
-    """What compute gives for a key, kept for the last cap to twice cap keys: two generations, so that frequent keys survive and memory is bounded."""
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """make(), kept by this worker process until another operator asks for something else: a worker that is used again holds one model or vocabulary at a time."""
+    if key not in _kept:
+        _kept.clear()
+        trim()
+        _kept[key] = make()
+    return _kept[key]
 
-    def __init__(self, compute, cap: int):
-        self.compute, self.cap, self.old = compute, cap, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.cap:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
-        return value
+def trim() -> None:
+    """Give freed memory back: Arrow's pool and, where there is glibc, the heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table, text_or_empty, written
+from folioscope.llm.common import kept, table, text_or_empty, written
+from folioscope.llm.pieces import FoldedWordEncoder, encoded_batch
 
 CAPACITY = 4096
 END_ID = 2
@@ -67,33 +68,20 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from folioscope.llm.pieces import FoldedWordEncoder
-
-        encoder = _encoder(FoldedWordEncoder, path)
+        encoder = kept(("folded", path), lambda: FoldedWordEncoder(path))
         end = np.array([end_id], "<u4")
         for batch in batches:
-            ids, tokens, crcs = [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.concatenate([np.frombuffer(encoder.encode(t.as_py()), "<u2").astype("<u4"), end])
-                ids.append(d)
+            tokens, crcs = [], []
+            for x in encoded_batch(encoder, batch.column(1)):
+                got = np.concatenate([x, end], dtype="<u4")
                 tokens.append(len(got))
                 crcs.append([zlib.crc32(got[k : k + capacity]) for k in range(0, len(got), capacity)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>").withColumn("salt", F.xxhash64(F.monotonically_increasing_id(), F.lit(20_25)))
 
 
-_encoders: dict = {}
-
-
-def _encoder(kind, path: str):
-    """One for each worker process: it remembers words across tasks."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
     """Sequences of at most capacity ids from what token_pieces gives: a row per piece.
 

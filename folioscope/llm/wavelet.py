@@ -1,7 +1,7 @@
 """Token ids on disk as wavelet matrices: one self-contained blob per shard, with rank and select on succinct bit-planes.
 
-Format of a blob, little-endian: magic FSWM, version u8, planes u8, u16 zero, tokens u64, documents u64, then the documents' ids
-(i64 each) and token counts (u32 each), the number of zeros of each plane (u64 each), and for each plane, the highest bit first,
+Format of a blob, little-endian: magic FSWM, version u8 (2), planes u8, u16 zero, tokens u64, documents u64, then the documents' ids
+(i64 each), which of them are null (bits, lowest first, in whole bytes) and token counts (u32 each), the number of zeros of each plane (u64 each), and for each plane, the highest bit first,
 its bits (packed, lowest bit first, in whole 64-bit words) and its ranks (u32: ones before each block of 512 bits, and all).
 """
 
@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table, text_or_empty, written
+from folioscope.llm.common import forget, kept, table, text_or_empty, written
+from folioscope.llm.pieces import ByteLevelEncoder, encoded_batch
 
 MAGIC = b"FSWM"
 BLOCK = 512
@@ -28,7 +29,9 @@ _HEAD = struct.Struct("<4sBBHQQ")
 
 
 def build(tokens: np.ndarray, doc_ids, counts, planes: int = 16) -> bytes:
-    """The blob of a shard. Tokens must be below 2 ** planes; counts says how many of them each document has."""
+    """The blob of a shard. Tokens must be below 2 ** planes; counts says how many of them each document has; an id may be None."""
+    null = np.fromiter((d is None for d in doc_ids), bool, len(doc_ids))
+    doc_ids = [d or 0 for d in doc_ids]
     tokens = np.ascontiguousarray(tokens, np.uint32)
     n = len(tokens)
     if n and int(tokens.max()) >> planes:
@@ -46,8 +49,8 @@ def build(tokens: np.ndarray, doc_ids, counts, planes: int = 16) -> bytes:
         body += [packed.tobytes(), np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]).tobytes()]
         zeros.append(n - int(np.count_nonzero(bit)))
         at = np.concatenate([at[~bit], at[bit]])
-    head = _HEAD.pack(MAGIC, 1, planes, 0, n, len(doc_ids))
-    return b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), np.asarray(counts, "<u4").tobytes(), np.asarray(zeros, "<u8").tobytes(), *body])
+    head = _HEAD.pack(MAGIC, 2, planes, 0, n, len(doc_ids))
+    return b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), np.packbits(null, bitorder="little").tobytes(), np.asarray(counts, "<u4").tobytes(), np.asarray(zeros, "<u8").tobytes(), *body])
 
 
 class WaveletMatrix:
@@ -55,16 +58,18 @@ class WaveletMatrix:
 
     def __init__(self, blob: bytes):
         magic, version, self.planes, _, self.n, docs = _HEAD.unpack_from(blob)
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != 2:
             raise ValueError("not a wavelet matrix of this version")
         at = _HEAD.size
         take = lambda kind, k: (np.frombuffer(blob, kind, k, at), at + np.dtype(kind).itemsize * k)
         self.doc_ids, at = take("<i8", docs)
+        null, at = take("<u1", -(-docs // 8))
+        self.null = np.unpackbits(null, count=docs, bitorder="little").astype(bool)
         self.counts, at = take("<u4", docs)
         zeros, at = take("<u8", self.planes)
         self.zeros = [int(z) for z in zeros]
         blocks = -(-self.n // BLOCK)
-        self.bits, self.ranks = [], []
+        self.bits, self.ranks, self._inner = [], [], {}
         for _ in range(self.planes):
             b, at = take("<u1", blocks * (BLOCK // 8))
             r, at = take("<u4", blocks + 1)
@@ -73,76 +78,90 @@ class WaveletMatrix:
         if at != len(blob):
             raise ValueError("the blob's length is wrong")
 
-    def _ones(self, plane: int, i: int) -> int:
-        """Ones before position i of a plane."""
-        block, rest = divmod(i, BLOCK)
-        got = int(self.ranks[plane][block])
-        if rest:
-            first = block * (BLOCK // 8)
-            whole = first + rest // 8
-            got += int(np.bitwise_count(self.bits[plane][first:whole]).sum())
-            if rest % 8:
-                got += (int(self.bits[plane][whole]) & ((1 << (rest % 8)) - 1)).bit_count()
-        return got
-
-    def _bit(self, plane: int, i: int) -> int:
-        return int(self.bits[plane][i >> 3]) >> (i & 7) & 1
-
-    def access(self, i: int) -> int:
-        """Token i."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        token = 0
+    def _ones(self, plane: int, i: np.ndarray) -> np.ndarray:
+        """Ones before each position of a plane: the rank before its block, whole words of the block, and the rest of a word."""
+        if not self.n:
+            return np.zeros(len(i), np.int64)
+        words = self.bits[plane].view(np.uint64).reshape(-1, BLOCK // 64)
+        if plane not in self._inner:
+            inner = np.bitwise_count(words).astype(np.int64)
+            self._inner[plane] = np.cumsum(inner, 1) - inner
+        block, rest = i // BLOCK, i % BLOCK
+        inside = block < len(words)
+        b, w = np.where(inside, block, 0), rest // 64
+        part = np.bitwise_count(words[b, w] & ((np.uint64(1) << (rest % 64).astype(np.uint64)) - np.uint64(1)))
+        return self.ranks[plane][block].astype(np.int64) + np.where(inside, self._inner[plane][b, w] + part, 0)
+
+    def access_many(self, at: np.ndarray) -> np.ndarray:
+        """The tokens at positions."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not (0 <= at.min() and at.max() < self.n):
+            raise IndexError("a position outside the shard")
+        token = np.zeros(len(at), np.int64)
         for p in range(self.planes):
-            bit, ones = self._bit(p, i), self._ones(p, i)
+            bit, ones = self.bits[p][at >> 3] >> (at & 7).astype(np.uint8) & 1, self._ones(p, at)
             token = token << 1 | bit
-            i = self.zeros[p] + ones if bit else i - ones
+            at = np.where(bit, self.zeros[p] + ones, at - ones)
         return token
 
-    def _range(self, token: int, i: int) -> tuple[int, int]:
-        """Where, after the last plane, the token's run starts and where its occurrences before i end."""
-        a, b = 0, i
+    def access(self, i: int) -> int:
+        """Token i."""
+        return int(self.access_many(np.array([i]))[0])
+
+    def _range(self, token: int, at: np.ndarray) -> tuple[int, np.ndarray]:
+        """Where, after the last plane, the token's run starts and where its occurrences before each position end."""
+        at = np.append(0, at)
         for p in range(self.planes):
-            oa, ob = self._ones(p, a), self._ones(p, b)
-            if token >> (self.planes - 1 - p) & 1:
-                a, b = self.zeros[p] + oa, self.zeros[p] + ob
-            else:
-                a, b = a - oa, b - ob
-        return a, b
+            ones = self._ones(p, at)
+            at = self.zeros[p] + ones if token >> (self.planes - 1 - p) & 1 else at - ones
+        return int(at[0]), at[1:]
 
-    def rank(self, token: int, i: int) -> int:
-        """Occurrences of token before position i."""
+    def rank_many(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Occurrences of token before each position."""
+        at = np.minimum(np.asarray(at, np.int64), self.n)
         if token >> self.planes:
-            return 0
-        a, b = self._range(token, min(i, self.n))
+            return np.zeros(len(at), np.int64)
+        a, b = self._range(token, at)
         return b - a
 
+    def rank(self, token: int, i: int) -> int:
+        """Occurrences of token before position i."""
+        return int(self.rank_many(token, np.array([i]))[0])
+
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def _select_bit(self, plane: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) such bit of a plane."""
+    def _select_bits(self, plane: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th (from 0) such bits of a plane."""
         r = self.ranks[plane].astype(np.int64)
         before = r if bit else np.arange(len(r)) * BLOCK - r
-        block = int(np.searchsorted(before, k, "right")) - 1
-        first = block * (BLOCK // 8)
-        bits = np.unpackbits(self.bits[plane][first : first + BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        block = np.searchsorted(before, k, "right") - 1
+        rows = np.unpackbits(self.bits[plane].reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little") == bit
+        return block * BLOCK + (np.cumsum(rows, 1, dtype=np.int16) > (k - before[block])[:, None]).argmax(1)
+
+    def select_many(self, token: int, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th (from 0) occurrences of token."""
+        k = np.asarray(k, np.int64)
+        a, b = self._range(token, np.array([self.n])) if not token >> self.planes else (0, [0])
+        if len(k) and not (0 <= k.min() and k.max() < b[0] - a):
+            raise IndexError("fewer occurrences")
+        out = []
+        # A block of bits is unpacked for each occurrence, so some thousands at a time.
+        for s in range(0, len(k), 4096):
+            i = a + k[s : s + 4096]
+            for p in range(self.planes - 1, -1, -1):
+                bit = token >> (self.planes - 1 - p) & 1
+                i = self._select_bits(p, bit, i - self.zeros[p] if bit else i)
+            out.append(i)
+        return np.concatenate(out) if out else k
 
     def select(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of token."""
-        a, b = self._range(token, self.n) if not token >> self.planes else (0, 0)
-        if not 0 <= k < b - a:
-            raise IndexError(k)
-        i = a + k
-        for p in range(self.planes - 1, -1, -1):
-            bit = token >> (self.planes - 1 - p) & 1
-            i = self._select_bit(p, bit, i - self.zeros[p] if bit else i)
-        return i
+        return int(self.select_many(token, np.array([k]))[0])
 
     def occurrences(self, token: int) -> list[int]:
         """All positions of token, ascending."""
-        return [self.select(token, k) for k in range(self.count(token))]
+        return self.select_many(token, np.arange(self.count(token))).tolist()
 
     def tokens(self) -> np.ndarray:
         """All tokens: undoes the stable partition of each plane, from the last to the first."""
@@ -156,28 +175,31 @@ class WaveletMatrix:
         return low
 
 
-_encoders: dict = {}
-
+SHARDS = "part long, seq long, first_doc long, part_start long, tokens long, docs long, blob binary"
 
-def _encoder(path: str):
-    from folioscope.llm.pieces import ByteLevelEncoder
 
-    if path not in _encoders:
-        _encoders[path] = ByteLevelEncoder(path)
-    return _encoders[path]
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """Per document doc_id, lead (its first 16 bytes) and ids (unsigned 16-bit, with end_id): what a shard is ordered by and made of."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = kept(("byte-level", path), lambda: ByteLevelEncoder(path)), np.array([end_id], "<u2").tobytes()
+        for batch in batches:
+            got = pa.array([x.tobytes() + end for x in encoded_batch(encoder, batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), got], ["doc_id", "lead", "ids"])
 
-SHARDS = "part long, seq long, first_doc long, part_start long, tokens long, docs long, blob binary"
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(F.encode(text, "UTF-8"), 1, 16).alias("lead"))
+    return rows.mapInArrow(run, "doc_id long, lead binary, ids binary")
 
 
 def shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Rows of documents as shards in ascending doc_id order: ranges of doc_id by partition, a blob after every shard_tokens tokens.
 
-    A null text is empty; a null doc_id sorts first. Rows with equal doc_id are documents of their own, ordered by text.
+    A null text is empty; a null doc_id sorts first. Rows with equal doc_id are documents of their own, ordered by their first bytes,
+    then by a hash of their ids; however many they are, ranges may part them. Texts are encoded where they are, so that only ids are dealt out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), np.array([end_id], "<u2").tobytes()
         from pyspark import TaskContext
 
         part, seq, start = TaskContext.get().partitionId(), 0, 0
@@ -187,33 +209,37 @@ def shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, end_id:
 
         def close() -> pa.RecordBatch:
             nonlocal seq, start, ids, got, size
-            counts = [len(x) // 2 for x in got]
             tokens = np.frombuffer(b"".join(got), "<u2")
-            # A null doc_id is stored as the smallest integer.
-            plain = [-(1 << 63) if d is None else d for d in ids]
-            row = [part, seq, plain[0], start, len(tokens), len(ids), build(tokens, plain, counts)]
+            row = [part, seq, ids[0], start, len(tokens), len(ids), build(tokens, ids, [len(x) // 2 for x in got])]
             kinds = [pa.int64()] * 6 + [pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "first_doc", "part_start", "tokens", "docs", "blob"])
             seq, start, ids, got, size = seq + 1, start + len(tokens), [], [], 0
             return out
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(d)
-                got.append(encoder.encode(t.as_py()) + end)
+                got.append(x.as_py())
                 size += len(got[-1]) // 2
                 if size >= shard_tokens:
                     yield close()
         if ids:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SHARDS)
+    # Written, as cutting ranges reads the rows twice.
+    rows = written(encoded(docs, path, end_id).withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "tokens")
+    order = ["doc_id", "lead", "tie", "row"]
+    stored = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SHARDS), "wavelet")
+    forget(rows)
+    return stored
+
 
+def documents_of(stored: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """A row per document of stored shards: doc_id, start (ids before it over all shards), n_tokens, the ids' unsigned CRC-32, and
+    end_rank, how many end ids its shard has before its last one.
 
-def documents_of(stored: DataFrame) -> DataFrame:
-    """A row per document of stored shards: doc_id, start (ids before it over all shards), n_tokens and the ids' unsigned CRC-32."""
+    A document's last id must be the end id, and selecting that occurrence must lead back to it; else the shard is damaged: ValueError.
+    """
     # One small row for each range partition: what the partitions before it hold.
     per_part = {r["part"]: r["t"] for r in stored.groupBy("part").agg(F.sum("tokens").alias("t")).collect()}
     before, total = {}, 0
@@ -225,21 +251,23 @@ def documents_of(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for part, at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 m = WaveletMatrix(blob.as_py())
-                tokens = m.tokens().astype("<u4")
                 ends = np.cumsum(m.counts, dtype=np.int64)
+                ranks = m.rank_many(end_id, ends - 1)
+                if (m.access_many(ends - 1) != end_id).any() or (m.select_many(end_id, ranks) != ends - 1).any():
+                    raise ValueError("a shard's documents don't end where its planes say")
+                tokens = m.tokens().astype("<u4")
                 starts = ends - m.counts
                 crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(starts, ends, strict=True)]
-                ids = pa.array(m.doc_ids, pa.int64(), mask=m.doc_ids == -(1 << 63))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(starts + (at + before[part])), pa.array(m.counts.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                columns = [pa.array(m.doc_ids, pa.int64(), mask=m.null), pa.array(starts + (at + before[part])), pa.array(m.counts.astype(np.int64)), pa.array(crcs, pa.int64()), pa.array(ranks)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "end_rank"])
 
-    return stored.select("part", "part_start", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.select("part", "part_start", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, end_rank long")
 
 
 def op8_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    stored = written(shards(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)), "wavelet")
-    return documents_of(stored)
+    return documents_of(shards(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
 QUERIES = {"op8_wavelet_matrix": op8_wavelet_matrix}

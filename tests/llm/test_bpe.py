@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -27,8 +28,8 @@ def test_as_the_library(library):
     alphabet = ["th", "e", "ing", "Z", " ", "  ", "\n", ".", ",", "'s", "é", "ción", "9", "\t", "!", "ß", "日", "\u0558", "\U0001f469", "\u200d", "\x1c"]
     made = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 40))) for _ in range(4000)]
     made += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(128, 0x2FF), r.randrange(0x300, 0xD000), r.randrange(0x10000, 0x1FFFF)])) for _ in range(12)) for _ in range(2000)]
-    for text in TEXTS + made:
-        got = np.frombuffer(c.encode(text), "<u4")
+    every = TEXTS + made + ["".join(r.choice("abcdefghijklmnop") for _ in range(30_000))]
+    for text, got in zip(every, c.encode(pa.array(every)), strict=True):
         assert got.tolist() == library.encode_ordinary(text), repr(text)
         assert "".join(t for _, t in c.decode(got)) == text
 
@@ -44,10 +45,13 @@ def test_transducer_is_the_definition():
                 tokens.append(x)
         ranks = {t: i for i, t in enumerate(tokens)}
         t = bpe.Transducer(ranks, kept=50)
-        for _ in range(200):
-            piece = bytes(r.choice(b"abc") for _ in range(r.randrange(1, 20)))
-            want = [ranks[piece]] if piece in ranks else bpe.merge(piece, ranks)
-            assert np.frombuffer(t.encode(piece), "<u4").tolist() == want
+        for n in (1, 5, 200):
+            pieces = [bytes(r.choice(b"abc") for _ in range(r.randrange(1, 20))) for _ in range(n)]
+            for piece, got in zip(pieces, t.encode_many(pieces), strict=True):
+                want = [ranks[piece]] if piece in ranks else bpe.merge(piece, ranks)
+                assert np.frombuffer(got, "<u4").tolist() == want
+            # A piece of each length may make as many transitions beyond the limit as go side by side.
+            assert len(t.step) <= 50 + n
 
 
 def test_utf8_machine():
@@ -71,4 +75,5 @@ def test_query_rows(spark, library):
         ids = library.encode_ordinary(t or "")
         want.add((d, hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), len(ids), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == want
+    assert {(r.doc_id, r.ids_sha256, r.n_tokens, r.decoded_sha256) for r in bpe.round_trip(frame(spark, ROWS), PATH, P.PATTERN).collect()} == want
     assert bpe.decoded_digest(bpe.encoded(frame(spark, []), PATH, P.PATTERN), PATH, P.PATTERN).count() == 0
