@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from folioscope.workers import ship
 
@@ -42,6 +43,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_added(docs: DataFrame, column: str, new: list[StructField], compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs with new columns that compute gives for a batch of one text column (null counts as empty).
+
+    Columns of docs that are named like a new one, whatever their case, are replaced; all others may have any name, as they pass by position.
+    """
+    taken = {f.name.lower() for f in new}
+    keep = [k for k, n in enumerate(docs.columns) if n.lower() not in taken]
+    names = [docs.columns[k] for k in keep] + [f.name for f in new]
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    passed = plain.select(text_or_empty(f"c{docs.columns.index(column)}").alias("t"), *(f"c{k}" for k in keep))
+    fields = [StructField(f"c{k}", docs.schema[k].dataType) for k in keep] + [StructField(f"n{k}", f.dataType) for k, f in enumerate(new)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *compute(batch.column(0))], [f.name for f in fields])
+
+    return passed.mapInArrow(run, StructType(fields)).toDF(*names)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a written table that nothing reads any more, and let go of shuffle files that nothing refers to."""
     spark = df.sparkSession

@@ -1,8 +1,10 @@
 """Toxic passages: maximal-scoring segments over token log-odds, with extreme-value calibration.
 
-Words get log-odds between toxic and other documents under Dirichlet priors taken from all of them. A linear-time scan finds all
-maximal-scoring segments of a text; each has an expected number of chance segments as good, K * n * exp(-lambda * score), and a text
-combines its best r segments by their sum statistic. A logistic curve, fitted on rows that gave no counts, maps that to a probability.
+Words get log-odds between toxic and other documents under a Dirichlet prior taken from all of them, shrunk by how likely chance is;
+those of either sign count, and a drift makes words that say nothing end segments. A linear-time scan finds all maximal-scoring segments of
+a text. In clean text their scores fall off exponentially; rate and frequency come from documents that a model wasn't counted on, so that
+a segment of score s among n words has an expected number of frequency * n * exp(-rate * s) chance segments as good. A text's statistic sums,
+over its segments, how far that lies below one, in logarithms; a logistic curve makes it a probability.
 """
 
 from __future__ import annotations
@@ -15,20 +17,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from folioscope.llm.common import table, text_or_empty
+from folioscope.llm.common import forget, table, text_or_empty, with_added, written
 
 #: Labelled rows that the model is fitted on at most: those of smallest hash of doc_id.
 FIT_ROWS = 20_000
-#: Strength of the prior, in documents, and the least number of documents with a word.
-PRIOR, LEAST_DOCUMENTS = 200.0, 8
-#: Weight of a word that says nothing: below 0, so that segments end.
-DRIFT = -0.25
-#: Log-odds must be so many standard deviations from 0; they count beyond that.
-SURE = 3.0
-MOST_WORDS = 200_000
+#: Parts of them: each is scored by a model of the others, which calibrates the model of all.
+FOLDS = 4
+# The next four are chosen by toxicity_choice.py on rows that may teach.
+#: Strength of the prior, in documents.
+PRIOR = 5.0
+#: Log-odds are shrunk by 1 - SURE ** 2 / G, where G is twice the logarithm of the likelihood ratio against chance, and are 0 where G is less.
+SURE = 4.0
+#: What every word loses, so that segments end.
+DRIFT = 1.0
+#: The least number of documents with a word.
+LEAST_DOCUMENTS = 2
 THRESHOLD = 0.3
 _words = re.compile(r"\w+").findall
 
@@ -59,50 +66,47 @@ def segments(scores) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y, _ in found]
 
 
-def sum_statistic(scores: list[float], n: int, rate: float, k: float) -> float:
-    """-log of the chance to see r segments that good among n words, for the best r: of the sum of r normalised scores x, x ** (r - 1) * exp(-x) / (r! (r - 1)!)."""
-    best, x = 0.0, 0.0
-    for r, s in enumerate(sorted(scores, reverse=True), 1):
-        x += rate * s - math.log(k * max(n, 1))
-        if x > 0:
-            best = max(best, x - (r - 1) * math.log(max(x, 1.0)) + math.lgamma(r + 1) + math.lgamma(r))
-        if r >= 40:
-            # From there on the correction outgrows what further segments can add; the sum itself goes on below.
-            break
-    rest = sum(rate * s - math.log(k * max(n, 1)) for s in sorted(scores, reverse=True)[40:])
-    return best + max(0.0, rest)
-
-
 @dataclass
 class Model:
+    """Shrunk log-odds by word, without the drift, and the calibration."""
+
     weights: dict[str, float] = field(default_factory=dict)
+    drift: float = DRIFT
     rate: float = 1.0
-    k: float = 0.1
-    slope: float = 1.0
+    frequency: float = 0.1
+    slope: float = 0.0
     base: float = -4.0
 
-    def passages(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
-        """Significant passages as (first word, end word, expected chance segments as good), and the number of words."""
+    def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
+        """Maximal-scoring segments (first word, end word, score) and the number of words."""
         words = _words(text.lower())
-        get = self.weights.get
         if not self.weights or self.weights.keys().isdisjoint(words):
             return [], len(words)
-        found = segments([get(w, DRIFT) for w in words])
-        return [(a, b, s) for a, b, s in found], len(words)
+        get, drift = self.weights.get, self.drift
+        return segments([get(w, 0.0) - drift for w in words]), len(words)
 
-    def statistic(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        found, n = self.passages(text)
-        return sum_statistic([s for _, _, s in found], n, self.rate, self.k), [(a, b, self.k * n * math.exp(-min(700.0, self.rate * s))) for a, b, s in found]
+    def expected(self, score: float, n: int) -> float:
+        """Chance segments as good among n words of clean text."""
+        return self.frequency * n * math.exp(-min(700.0, self.rate * score))
+
+    def statistic(self, scores: list[float], n: int) -> float:
+        room = math.log(max(self.frequency * n, 1e-9))
+        return math.log1p(sum(max(0.0, self.rate * s - room) for s in scores))
 
     def probability(self, statistic: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.base + self.slope * statistic))))
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of words between the classes, and their standard deviations, with a Dirichlet prior in proportion to all documents."""
-    alpha = prior * (toxic + clean) / max(1.0, n_toxic + n_clean)
-    odds = lambda y, n: np.log((y + alpha) / (n + prior - y - alpha).clip(1e-9))
-    return odds(toxic, n_toxic) - odds(clean, n_clean), np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
+def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float, prior: float = PRIOR, sure: float = SURE) -> Column:
+    """Shrunk log-odds of words in toxic and clean documents, of n_toxic and n_clean, with a Dirichlet prior in proportion to all."""
+    n = n_toxic + n_clean
+    share = (toxic + clean) / F.lit(n)
+    alpha = share * F.lit(prior)
+    odds = lambda y, of: F.log((y + alpha) / F.greatest(F.lit(1e-9), F.lit(of + prior) - y - alpha))
+    part = lambda k, of, p: F.when(k > 0, k * F.log(k / (F.lit(of) * p))).otherwise(F.lit(0.0))
+    rest = F.greatest(F.lit(1.0) - share, F.lit(1e-12))
+    g = 2 * (part(toxic, n_toxic, share) + part(F.lit(n_toxic) - toxic, n_toxic, rest) + part(clean, n_clean, share) + part(F.lit(n_clean) - clean, n_clean, rest))
+    return F.when(g > sure**2, (odds(toxic, n_toxic) - odds(clean, n_clean)) * (1 - sure**2 / g)).otherwise(F.lit(0.0))
 
 
 def decay(values: np.ndarray, shares: np.ndarray) -> float:
@@ -132,97 +136,112 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return max(0.0, float(w[0])), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from at most rows labelled documents that aren't held out. Three quarters of them give counts, the rest calibration.
+def taught_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(y, fold, text) of at most rows labelled documents that aren't held out: 1 if one label of the doc_id says toxic, 0 otherwise.
 
-    Null labels and ids teach nothing; a doc_id labelled more than once is toxic if one label says so; of documents that share an
-    id the smallest text counts. Without toxic or without other rows the model knows no word and gives every text its base rate.
+    Null labels and ids teach nothing; of documents that share an id the smallest text counts.
     """
-    taught = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    taught = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("y"))
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # At most rows small rows: a broadcast of bounded size, so that the texts aren't shuffled before they are few.
-    some = docs.select(F.col("doc_id"), text_or_empty().alias("text")).join(F.broadcast(taught), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    some = some.select("y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("calibrates"), "text")
+    some = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(taught), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return some.select("y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+
+
+def _counted(some: DataFrame) -> DataFrame:
+    """By word (null: all documents) and for each fold the toxic and clean documents with it (t0.., c0..) and its occurrences in clean ones (k0..)."""
+    names = [f"{x}{f}" for x in "tck" for f in range(FOLDS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [Counter(), Counter()]
-        tokens = [Counter(), Counter()]
-        n, size = [0, 0], [0, 0]
+        toxic, clean, tokens = ([Counter() for _ in range(FOLDS)] for _ in range(3))
         for batch in batches:
-            for y, calibrates, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not calibrates:
-                    y = int(y > 0)
-                    words = _words(t.lower())
-                    have[y].update(set(words))
-                    n[y] += 1
-                    size[y] += len(words)
-                    if not y:
-                        tokens[0].update(words)
-        words = [*(have[0] | have[1])]
-        yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.string()), pa.array([have[1][w] for w in words] + [n[1]], pa.int64()), pa.array([have[0][w] for w in words] + [n[0]], pa.int64()), pa.array([tokens[0][w] for w in words] + [size[0]], pa.int64())], ["word", "toxic", "clean", "tokens"])
-
-    counted = some.mapInArrow(count, "word string, toxic long, clean long, tokens long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("tokens").alias("tokens"))
-    counted = counted.where(F.col("word").isNull() | (F.col("toxic") + F.col("clean") >= LEAST_DOCUMENTS)).orderBy(F.col("word").isNotNull(), F.desc(F.col("toxic") + F.col("clean")), "word").limit(MOST_WORDS + 1).toArrow()
-    model = Model()
-    if counted.num_rows < 2:
+            for y, fold, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = _words(t.lower())
+                (toxic if y else clean)[fold].update(set(words))
+                (toxic if y else clean)[fold][None] += 1
+                if not y:
+                    tokens[fold].update(words)
+                    tokens[fold][None] += len(words)
+        every = [*set().union(*toxic, *clean)]
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([x[w] for w in every], pa.int64()) for x in (*toxic, *clean, *tokens))], ["word", *names])
+
+    return some.mapInArrow(count, ", ".join(["word string", *(f"{n} long" for n in names)])).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, prior: float = PRIOR, sure: float = SURE, drift: float = DRIFT, least: int = LEAST_DOCUMENTS) -> Model:
+    """A model of at most rows labelled documents that aren't held out (taught_rows).
+
+    Without toxic or without other rows the model knows no word and gives every text its base rate. What reaches the driver are the words whose
+    log-odds aren't 0, sums, and two numbers for each of these rows.
+    """
+    some = written(taught_rows(docs, labels, rows), "taught")
+    counts = written(_counted(some), "counts")
+    all_of = counts.where("word is null").first()
+    model, folds = Model(drift=drift), range(FOLDS)
+    if all_of is None or not sum(all_of[f"t{f}"] for f in folds) or not sum(all_of[f"c{f}"] for f in folds):
+        toxic = all_of is not None and sum(all_of[f"t{f}"] for f in folds) > 0
+        model.base = 4.0 if toxic else -4.0
         return model
-    toxic, clean, tokens = (counted.column(k).to_numpy().astype(float) for k in ("toxic", "clean", "tokens"))
-    if not toxic[0] or not clean[0]:
-        model.slope, model.base = 0.0, 4.0 if toxic[0] else -4.0
+    without = [[g for g in folds if g != f] for f in folds] + [list(folds)]
+    total = lambda x, of: sum((F.col(f"{x}{g}") for g in of), F.lit(0))
+    columns = []
+    for k, of in enumerate(without):
+        n_toxic, n_clean = (float(sum(all_of[f"{x}{g}"] for g in of)) for x in "tc")
+        enough = (total("t", of) + total("c", of) >= least) & F.lit(n_toxic > 0 and n_clean > 0)
+        columns.append(F.when(enough, log_odds(total("t", of).cast("double"), total("c", of).cast("double"), max(n_toxic, 1.0), max(n_clean, 1.0), prior, sure)).otherwise(F.lit(0.0)).alias(f"w{k}"))
+    known = counts.where("word is not null").select("word", total("k", folds).alias("tokens"), *columns).where(" or ".join(f"w{k} != 0" for k in range(len(without)))).orderBy("word").toArrow()
+    words, tokens = known.column("word").to_pylist(), known.column("tokens").to_numpy()
+    weights = [known.column(f"w{k}").to_numpy() for k in range(len(without))]
+    models = [{w: x for w, x in zip(words, v.tolist(), strict=True) if x} for v in weights]
+    model.weights = models[-1]
+    if not model.weights:
+        y = [sum(all_of[f"{x}{f}"] for f in folds) for x in "tc"]
+        model.base = math.log(y[0] / y[1])
         return model
-    delta, sd = log_odds(toxic[1:], clean[1:], toxic[0], clean[0])
-    sure = np.sign(delta) * np.maximum(0.0, np.abs(delta) - SURE * sd)
-    words = counted.column("word").to_pylist()[1:]
-    model.weights = {w: float(s) + DRIFT for w, s in zip(words, sure, strict=True) if s > 0 and s + DRIFT > 0}
-    weight = np.array([model.weights.get(w, DRIFT) for w in words])
-    shares = (tokens[1:] + 1e-3) / max(1.0, tokens[0])
-    model.rate = decay(np.append(weight, DRIFT), np.append(shares, max(0.0, 1 - shares.sum())))
+    shares = tokens / max(1, sum(all_of[f"k{f}"] for f in folds))
+    chance = decay(np.append(weights[-1] - drift, -drift), np.append(shares, max(0.0, 1 - shares.sum())))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_fold = [Model(w, drift) for w in models[:-1]]
         for batch in batches:
-            out = []
-            for y, calibrates, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found, n = model.passages(t)
-                out.append((int(y > 0), calibrates, n, max((s for _, _, s in found), default=0.0), [s for _, _, s in found]))
-            kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 5, kinds, strict=True)], ["y", "calibrates", "n", "best", "scores"])
-
-    got = some.mapInArrow(measure, "y int, calibrates boolean, n long, best double, scores array<double>").toArrow().to_pylist()
-    # K from the clean rows: chance segments above half the typical positive weight, by their expected number.
-    level = 0.5 * float(np.median(list(model.weights.values()))) if model.weights else 1.0
-    chance = sum(sum(s > level for s in r["scores"]) for r in got if not r["y"])
-    space = sum(r["n"] for r in got if not r["y"])
-    model.k = min(1.0, max(1e-6, (chance + 0.5) / max(1, space) * math.exp(min(500.0, model.rate * level))))
-    held = [r for r in got if r["calibrates"]]
-    x = np.array([sum_statistic(r["scores"], r["n"], model.rate, model.k) for r in held])
-    y = np.array([float(r["y"]) for r in held])
-    if 0 < y.sum() < len(y):
-        model.slope, model.base = logistic(np.log1p(x), y)
+            got = [by_fold[f].segments(t) for f, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in got], pa.int64()), pa.array([[s for *_, s in found] for found, _ in got], pa.list_(pa.float64()))], ["y", "n", "scores"])
+
+    measured = written(some.mapInArrow(measure, "y int, n long, scores array<double>"), "measured")
+    # The scores of clean documents' segments, as exponential; the root for independent words counts as one more of them.
+    clean = measured.where("y = 0").agg(F.sum(F.size("scores")), F.sum(F.aggregate("scores", F.lit(0.0), lambda a, s: a + s)), F.sum("n")).first()
+    segments_of, score, space = (x or 0 for x in clean)
+    model.rate = (segments_of + 1) / (score + 1 / chance)
+    model.frequency = (segments_of + 0.5) / max(1, space)
+    room = F.log(F.greatest(F.lit(model.frequency) * F.col("n"), F.lit(1e-9)))
+    x = F.log1p(F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), F.lit(model.rate) * s - room)))
+    got = measured.select(x.alias("x"), F.col("y").cast("double").alias("y")).orderBy("x", "y").toArrow()
+    model.slope, model.base = logistic(got.column("x").to_numpy(), got.column("y").to_numpy())
+    for t in (some, counts, measured):
+        forget(t)
     return model
 
 
+PASSAGES = ArrayType(StructType([StructField("first", LongType()), StructField("end", LongType()), StructField("expected", DoubleType())]))
+
+
 def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """All columns of docs with score, predicted, n_passages and, if spans, passages (first and end word, chance segments as good). Null and empty texts score the base rate."""
+    """All columns of docs with score, predicted, n_passages (segments with less than one chance segment as good) and, if spans, passages (first and end
+    word, chance segments as good). Null and empty texts score as texts without segments. Columns named like these, whatever their case, are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    rows = docs.withColumn("_text", text_or_empty())
-    new = ["score", "predicted", "n_passages", *["passages"] * spans]
-    keep = [k for k, n in enumerate(names) if n not in new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            out = []
-            for t in batch.column(batch.num_columns - 1):
-                x, found = m.statistic(t.as_py())
-                p = m.probability(math.log1p(x))
-                sure = [f for f in found if f[2] < 1]
-                out.append((p, int(p >= THRESHOLD), len(sure), [{"first": a, "end": b, "expected": e} for a, b, e in sure])[: 3 + spans])
-            kinds = [pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())]))][: 3 + spans]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True))], [*(names[k] for k in keep), *new])
-
-    schema = [f"`{names[k]}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["score double", "predicted int", "n_passages long"] + ["passages array<struct<first:bigint,end:bigint,expected:double>>"] * spans
-    return rows.mapInArrow(run, ", ".join(schema))
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        m, out = shared.value, []
+        for t in texts:
+            found, n = m.segments(t.as_py())
+            p = m.probability(m.statistic([s for *_, s in found], n))
+            sure = [{"first": a, "end": b, "expected": e} for a, b, s in found if (e := m.expected(s, n)) < 1]
+            out.append((p, int(p >= THRESHOLD), len(sure), sure)[: 3 + spans])
+        kinds = [pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())]))][: 3 + spans]
+        return [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)]
+
+    new = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_passages", LongType()), StructField("passages", PASSAGES)][: 3 + spans]
+    return with_added(docs, "text", new, compute)
 
 
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

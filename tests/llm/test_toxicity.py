@@ -1,7 +1,10 @@
 """Segments against brute force; the classifier on made rows that it wasn't taught."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -77,3 +80,68 @@ def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, "x", 5, "s")], "doc_id long, text string, score int, predicted string")
     got = toxicity.scored(rows, toxicity.Model()).first()
     assert 0 <= got.score <= 1 and got.predicted == 0
+    odd = spark.createDataFrame([(1, "vile", 5, "s", "t", 2)], "doc_id long, text string, Score int, `a``b` string, _text string, c0 int")
+    got = toxicity.scored(odd, toxicity.Model({"vile": 6.0}, slope=2.0))
+    assert got.columns == ["doc_id", "text", "a`b", "_text", "c0", "score", "predicted", "n_passages"]
+    assert tuple(got.first())[:5] == (1, "vile", "s", "t", 2)
+
+
+def brute_model(rows, folds=toxicity.FOLDS):
+    """The score's definition over (text, label, fold), in plain Python."""
+    words = lambda t: re.findall(r"\w+", t.lower())
+
+    def weights(rows):
+        n = [sum(y == k for _, y, _ in rows) for k in (0, 1)]
+        have = [Counter(w for t, y, _ in rows if y == k for w in set(words(t))) for k in (0, 1)]
+        out = {}
+        for w in have[0] | have[1]:
+            c, t = have[0][w], have[1][w]
+            p = (t + c) / sum(n)
+            cell = lambda k, m, q: k * math.log(k / (m * q)) if k else 0.0
+            g = 2 * (cell(t, n[1], p) + cell(n[1] - t, n[1], 1 - p) + cell(c, n[0], p) + cell(n[0] - c, n[0], 1 - p))
+            if t + c >= toxicity.LEAST_DOCUMENTS and g > toxicity.SURE**2:
+                a = toxicity.PRIOR * p
+                odds = [math.log((y + a) / (m + toxicity.PRIOR - y - a)) for y, m in ((t, n[1]), (c, n[0]))]
+                out[w] = (odds[0] - odds[1]) * (1 - toxicity.SURE**2 / g)
+        return out
+
+    def scores(t, weights):
+        return [s for *_, s in brute([weights.get(w, 0.0) - toxicity.DRIFT for w in words(t)])]
+
+    by = [weights([r for r in rows if r[2] != f]) for f in range(folds)]
+    found = [(y, len(words(t)), scores(t, by[f])) for t, y, f in rows]
+    every, clean = weights(rows), [s for y, _, x in found if not y for s in x]
+    tokens = Counter(w for t, y, _ in rows if not y for w in words(t))
+    shares = {w: tokens[w] / sum(tokens.values()) for w in every}
+    root = toxicity.decay(np.array([*(x - toxicity.DRIFT for x in every.values()), -toxicity.DRIFT]), np.array([*shares.values(), 1 - sum(shares.values())]))
+    rate, frequency = (len(clean) + 1) / (sum(clean) + 1 / root), (len(clean) + 0.5) / sum(n for y, n, _ in found if not y)
+    statistic = lambda s, n: math.log1p(sum(max(0, rate * x - math.log(frequency * n)) for x in s))
+    slope, base = toxicity.logistic(np.array([statistic(x, n) for _, n, x in found]), np.array([float(y) for y, *_ in found]))
+    return lambda t: 1 / (1 + math.exp(-base - slope * statistic(scores(t, every), len(words(t)))))
+
+
+def test_score_is_the_definition(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcd") for _ in range(2)) for _ in range(12)]
+    rows = []
+    for i in range(240):
+        words = [r.choice(vocabulary) for _ in range(r.randrange(3, 14))]
+        if i % 4 == 0 or r.random() < 0.03:
+            words.insert(r.randrange(len(words)), r.choice(["vile", "foul"]))
+        if i % 4:
+            words.append("kind")
+        rows.append((i, " ".join(words), "en", i))
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    taught = [(x.text, x.y, x.fold) for x in toxicity.taught_rows(docs, labels).collect()]
+    want = brute_model(taught)
+    model = toxicity.fit(docs, labels)
+    assert any(x < 0 for x in model.weights.values()) and any(x > 0 for x in model.weights.values())
+    for x in toxicity.scored(docs, model).collect():
+        assert math.isclose(x.score, want(x.text), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_very_long_text(spark):
+    docs = frame(spark, [(1, "kind words " * 200_000 + "vile", None, None), (2, "x" * 1_000_000, None, None)])
+    got = {r.doc_id: r for r in toxicity.scored(docs, toxicity.Model({"vile": 9.0, "kind": -1.0}, rate=1.0, frequency=1e-6, slope=2.0), spans=True).collect()}
+    assert [p.first for p in got[1].passages] == [400_000] and got[2].passages == []
