@@ -2,12 +2,12 @@
 
 Counts, continuation counts, contexts and lower orders are tables joined on their keys, sharded by them. A document's perplexity is
 that of the characters of all its words; documents above a limit from their language's held-out trusted documents are rejected.
-An n-gram of up to five symbols is one integer, 12 bits a symbol. 1 starts a word (only as context) and 2 ends it.
+An n-gram of up to five symbols is one integer, 12 bits a symbol. 1 starts a word (only as context) and 2 ends it; code points from WIDE on
+are two symbols each, of which the first is never an end of a character below WIDE, so no two texts have the same symbols.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -17,11 +17,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from folioscope.llm.common import table, text_or_empty, written
+from folioscope.llm.common import table, text_or_empty, with_added, written
 
 ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
+#: Code points below are a symbol each (0 to 2 are marks and share one); c above is WIDE + c // 1024 (below 4096) and then 3 + c % 1024.
+WIDE = 3000
 UNIFORM = 1.0 / (1 << BITS)
 QUANTILE = 0.995
 #: One in so many trusted texts, by hash, gives limits instead of counts: texts that a model was trained on have lower perplexity than others as good.
@@ -31,16 +34,22 @@ BROADCAST_ENTRIES = 3_000_000
 #: Trusted ids (8 bytes each) up to which they are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Characters that are taken at a time (a longer single word is taken whole), words of one text in them, and distinct n-grams after which counts are handed on.
-CHARACTERS, WORDS, HANDED_ON = 1 << 21, 100_000, 2_000_000
+CHARACTERS, WORDS, HANDED_ON = 1 << 20, 100_000, 1_000_000
 #: Held-out documents from which a language's own quantile is its limit. With fewer the quantile is about their maximum, which one in n + 1 good documents exceeds.
 LEAST_HELD_OUT = 200
-#: Languages that can have a limit of their own; those with the most trusted documents are taken.
-MOST_LANGUAGES = 10_000
 
 
 def symbols(word: str) -> list[int]:
-    """A word between its marks. Code points from 4000 on share 90 symbols."""
-    return [1, *(c if 2 < c < 4000 else 4000 + c % 90 for c in map(ord, word)), 2]
+    """A word between its marks."""
+    out = [1]
+    for c in map(ord, word):
+        out += [WIDE + c // 1024, 3 + c % 1024] if c >= WIDE else [max(c, 3)]
+    return [*out, 2]
+
+
+def widths(pieces: list[str]) -> np.ndarray:
+    """How many keys keys_of() gives for each piece."""
+    return np.array([len(p) + 1 if p.isascii() or max(p) < chr(WIDE) else len(p) + 1 + sum(c >= chr(WIDE) for c in p) for p in pieces])
 
 
 def grams(word: str) -> Iterator[tuple[int, int]]:
@@ -53,13 +62,17 @@ def grams(word: str) -> Iterator[tuple[int, int]]:
 
 
 def keys_of(pieces: list[str]) -> np.ndarray:
-    """The keys of grams() for the words of all pieces (words joined by line feeds, none empty), in order: len(piece) + 1 for each.
+    """The keys of grams() for the words of all pieces (words joined by line feeds, none empty), in order: widths() of them for each.
 
     A key has no empty symbol below its first one, so its order needn't be kept.
     """
     c = np.frombuffer(("\n" + "\n".join(pieces) + "\n").encode("utf-32-le"), "<u4").astype(np.int64)
-    mark = c == ord("\n")
-    c = np.where((c > 2) & (c < 4000), c, 4000 + c % 90)
+    mark, wide = c == ord("\n"), c >= WIDE
+    if wide.any():
+        first, mark = np.cumsum(1 + wide) - 1 - wide, np.repeat(mark, 1 + wide)
+        trail, c = 3 + c[wide] % 1024, np.repeat(np.where(wide, WIDE + c // 1024, c), 1 + wide)
+        c[first[wide] + 1] = trail
+    c = np.maximum(c, 3)
     keys, context, open_ = np.where(mark, 2, c)[1:], np.where(mark, 1, c), np.ones(len(c) - 1, bool)
     for k in range(1, min(ORDER, len(c))):
         keys[k - 1 :] |= np.where(open_[k - 1 :], context[:-k] << BITS * k, 0)
@@ -187,7 +200,7 @@ class Model:
         """The sum of logarithms and the number of symbols of each text. Equal texts get equal sums."""
         sums, symbols_of = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for places, pieces in portions(texts):
-            n = np.array([len(p) + 1 for p in pieces])
+            n = widths(pieces)
             codes, keys = pd.factorize(keys_of(pieces))
             np.add.at(sums, places, np.add.reduceat(self.log_probabilities(keys)[codes], np.cumsum(n) - n))
             np.add.at(symbols_of, places, n)
@@ -210,27 +223,24 @@ def collected(tables: DataFrame) -> Model:
 
 
 def with_perplexity(docs: DataFrame, tables: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with perplexity (null where a text has no words)."""
+    """docs with perplexity (null where a text has no words); a column of that name, whatever its case, is replaced."""
     if tables.count() > broadcast_entries:
         return _joined(docs, tables)
     shared = docs.sparkSession.sparkContext.broadcast(collected(tables))
-    names = docs.columns
-    keep = [k for k, n in enumerate(names) if n != "perplexity"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums, n = shared.value.texts(batch.column(batch.num_columns - 1).to_pylist())
-            out = pa.array(np.exp(-sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), out], [*(names[k] for k in keep), "perplexity"])
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        sums, n = shared.value.texts(texts.to_pylist())
+        return [pa.array(np.exp(-sums / np.maximum(n, 1)), pa.float64(), mask=n == 0)]
 
-    schema = ", ".join([f"`{names[k]}` {docs.schema[k].dataType.simpleString()}" for k in keep] + ["perplexity double"])
-    return docs.withColumn("_text", text_or_empty()).mapInArrow(run, schema)
+    return with_added(docs, "text", [StructField("perplexity", DoubleType())], compute)
 
 
 def _joined(docs: DataFrame, tables: DataFrame) -> DataFrame:
     """The same with the model left in its shards: distinct words are scored by joins on n-grams, documents by a join on words."""
-    names = [n for n in docs.columns if n != "perplexity"]
-    named = docs.select(*names).withColumn("_d", F.xxhash64(text_or_empty())).withColumn("_e", F.hash(text_or_empty()))
+    keep = [k for k, n in enumerate(docs.columns) if n.lower() != "perplexity"]
+    own = text_or_empty(f"c{docs.columns.index('text')}")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    named = plain.select(*(f"c{k}" for k in keep), own.alias("text"), F.xxhash64(own).alias("_d"), F.hash(own).alias("_e"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +266,7 @@ def _joined(docs: DataFrame, tables: DataFrame) -> DataFrame:
                         k -= 1
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(at, pa.int32()), pa.array(o, pa.int32()), pa.array(key, pa.int64())], ["w", "at", "o", "key"])
 
-    texts = named.select("_d", "_e", text_or_empty().alias("text")).dropDuplicates(["_d", "_e"])
+    texts = named.select("_d", "_e", "text").dropDuplicates(["_d", "_e"])
     counts = written(texts.mapInArrow(words, "_d long, _e int, w string, n long"), "words")
     steps = counts.select("w").distinct().mapInArrow(spell, "w string, at int, o int, key long")
     p = tables.where("p is not null").select("o", "key", "p")
@@ -267,7 +277,7 @@ def _joined(docs: DataFrame, tables: DataFrame) -> DataFrame:
     score = F.expr(f"aggregate(all, 0D, (s, x) -> s + CASE WHEN x.o = coalesce(best, 0) AND x.o > 0 THEN ln(x.p) WHEN x.o = 0 AND best IS NULL THEN ln({UNIFORM!r}D) WHEN x.o > coalesce(best, 0) THEN ln(coalesce(x.back, 1D)) ELSE 0D END)")
     by_word = best.withColumn("s", score).groupBy("w").agg(F.sum("s").alias("s"), F.count("*").alias("k"))
     per = counts.join(by_word, "w").groupBy("_d", "_e").agg(F.exp(-F.sum(F.col("n") * F.col("s")) / F.sum(F.col("n") * F.col("k"))).alias("perplexity"))
-    return named.join(per, ["_d", "_e"], "left").select(*names, "perplexity")
+    return named.join(per, ["_d", "_e"], "left").select(*(f"c{k}" for k in keep), "perplexity").toDF(*(docs.columns[k] for k in keep), "perplexity")
 
 
 def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -278,48 +288,42 @@ def trusted_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
-def language_limits(known: DataFrame, quantile: float = QUANTILE) -> tuple[dict[str | None, float], float | None]:
-    """Limits by language and the general one, from (lang, perplexity) of held-out trusted documents.
+def language_limits(known: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, float | None]:
+    """Limits by language (lang, limit) and the general one, from (lang, perplexity) of held-out trusted documents.
 
     A language with few of them has its mean logarithm and the spread that all languages share around their means, widened for how
     little a mean of n says of another document; its own quantile if that is higher.
     """
     known = known.where("perplexity is not null").withColumn("x", F.log("perplexity"))
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    by = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), limit.alias("q")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES), "languages")
-    rows = by.collect()
-    if not rows:
-        return {}, None
+    by = written(known.groupBy("lang").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), limit.alias("q")), "languages")
     general = known.agg(limit).first()[0]
-    around = F.broadcast(by.where("n > 1").select(F.col("lang").alias("of"), "n", "mean"))
+    around = by.where("n > 1").select(F.col("lang").alias("of"), "n", "mean")
     off = (F.col("x") - F.col("mean")) * F.sqrt(F.col("n") / (F.col("n") - 1))
     spread = known.join(around, F.col("lang").eqNullSafe(F.col("of"))).agg(F.percentile_approx(off, F.lit(quantile), F.lit(10_000))).first()[0]
-
-    def of(r) -> float:
-        if r.n >= LEAST_HELD_OUT:
-            return r.q
-        return max(r.q, general if spread is None else math.exp(r["mean"] + max(0.0, spread) * math.sqrt(1 + 1 / r.n)))
-
-    return {r.lang: of(r) for r in rows}, general
+    shared = F.lit(general).cast("double") if spread is None else F.exp(F.col("mean") + max(0.0, spread) * F.sqrt(1 + 1 / F.col("n")))
+    return by.select("lang", F.when(F.col("n") >= LEAST_HELD_OUT, F.col("q")).otherwise(F.greatest("q", shared)).alias("limit")), general
 
 
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """docs with perplexity, limit (language_limits of held-out trusted documents, the general one where a language has none) and rejected (boolean).
 
     The model is trained on the other trusted documents. Texts without words have no perplexity and are rejected. A null language is a
-    language. Without held-out trusted text nothing has a limit and nothing but empty texts is rejected.
+    language. Without held-out trusted text nothing has a limit and nothing but empty texts is rejected. Columns of docs that are named like
+    the new ones, whatever their case, are replaced.
     """
     held_out = F.pmod(F.xxhash64(text_or_empty()), F.lit(HELD_OUT)) == 0
     tables = model_tables(counted(trusted.where(~held_out).select(text_or_empty().alias("text"))))
     known = written(with_perplexity(trusted.where(held_out).select("lang", "text"), tables, broadcast_entries).select("lang", "perplexity"), "trusted")
     limits, general = language_limits(known, quantile)
-    own = F.lit(general).cast("double")
-    if named := {k: v for k, v in limits.items() if k is not None}:
-        own = F.coalesce(F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("lang")], own)
-    if None in limits:
-        own = F.when(F.col("lang").isNull(), F.lit(limits[None])).otherwise(own)
-    scored = with_perplexity(docs, tables, broadcast_entries)
-    return scored.withColumn("limit", own).withColumn("rejected", F.col("perplexity").isNull() | F.coalesce(F.col("perplexity") > F.col("limit"), F.lit(False)))
+    names = [n for n in docs.columns if n.lower() not in ("perplexity", "limit", "rejected")]
+    scored = with_perplexity(docs.select(*(F.col(f"`{n.replace('`', '``')}`") for n in names)), tables, broadcast_entries)
+    # By position, whatever the names are. A language is a row here, so Spark broadcasts the limits if they are small and splits a hot language if not.
+    lang, p = f"c{names.index('lang')}", f"c{len(names)}"
+    plain = scored.toDF(*(f"c{k}" for k in range(len(names) + 1)))
+    met = plain.join(limits.select(F.col("lang").alias("of"), F.col("limit").alias("own")), F.col(lang).eqNullSafe(F.col("of")), "left").drop("of")
+    met = met.withColumn("own", F.coalesce("own", F.lit(general).cast("double")))
+    return met.withColumn("rejected", F.col(p).isNull() | F.coalesce(F.col(p) > F.col("own"), F.lit(False))).toDF(*names, "perplexity", "limit", "rejected")
 
 
 def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,7 @@ def made():
 @pytest.mark.parametrize("entries", [quality.BROADCAST_ENTRIES, 0])
 def test_perplexity_is_the_definition(spark, entries):
     good, bad = made()
+    good[7] = (7, "\u65e5\u672c\u8a9e \u30c6\u30ad\u30b9\u30c8 \u0f40\u0f41 \U0001f600 \u65e5", "ja", 7)
     trusted = frame(spark, good[:80])
     docs = frame(spark, [*good, *bad, *ROWS, good[0]])
     tables = quality.model_tables(quality.counted(trusted))
@@ -100,7 +101,11 @@ def test_limits_of_languages_with_few_held_out_documents(spark):
     rows = [("many", draw(3)) for _ in range(2000)] + [(None, draw(4)) for _ in range(3)] + [("none", None)] + [(name, draw(mean)) for name, mean, n in few for _ in range(n)]
     known = spark.createDataFrame(rows, "lang string, perplexity double")
     most = {name: max(p for lang, p in rows if lang == name) for name, *_ in few}
-    limits, general = quality.language_limits(known)
+    def limits_of(rows):
+        limits, general = quality.language_limits(rows)
+        return {r.lang: r.limit for r in limits.collect()}, general
+
+    limits, general = limits_of(known)
     assert "none" not in limits and None in limits
     assert limits["many"] == known.where("lang = 'many'").selectExpr("percentile_approx(perplexity, 0.995, 10000)").first()[0]
     new = [(name, draw(mean)) for name, mean, _ in few for _ in range(20)]
@@ -110,8 +115,22 @@ def test_limits_of_languages_with_few_held_out_documents(spark):
     # What is far from a language is still rejected.
     assert sum(math.exp(mean + 2) > limits[name] for name, mean, _ in few) == len(few)
     alone = spark.createDataFrame([("a", 5.0), ("b", 9.0)], "lang string, perplexity double")
-    assert quality.language_limits(alone) == ({"a": 9.0, "b": 9.0}, 9.0)
-    assert quality.language_limits(alone.limit(0)) == ({}, None)
+    assert limits_of(alone) == ({"a": 9.0, "b": 9.0}, 9.0)
+    assert limits_of(alone.limit(0)) == ({}, None)
+
+
+@pytest.mark.parametrize("entries", [quality.BROADCAST_ENTRIES, 0])
+def test_clashing_names(spark, entries):
+    rows = [(i, t, "en", "x", 1.0, "y", True) for i, t, *_ in made()[0][:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, Perplexity double, `a``b` string, LIMIT boolean")
+    got = quality.judged(docs, docs, 1.0, entries)
+    assert got.columns == ["doc_id", "text", "lang", "_text", "a`b", "perplexity", "limit", "rejected"]
+    assert {(r._text, r["a`b"]) for r in got.collect()} == {("x", "y")}
+
+
+def test_no_two_characters_share_symbols():
+    every = [chr(c) for c in range(3, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    assert len({tuple(quality.symbols(c)) for c in every}) == len(every) and max(max(quality.symbols(c)) for c in every) < 1 << quality.BITS
 
 
 def test_nothing_trusted_and_no_rows(spark):
