@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import components, table, written
+from folioscope.llm.common import components, forget, table, written
 
 THRESHOLD = 0.98
 #: Vectors that k-means is fitted on at most (those of smallest hash); every vector is assigned.
 FIT_SAMPLE = 20_000
-#: Vectors to a cell, on average over all labels, and the most cells: the centroids are a broadcast of bounded size.
-CELL_VECTORS, MOST_CELLS = 8192, 1024
+#: There are 1 + sqrt(vectors) / CELL_ROOT cells: a vector can be a guest in every cell where data has no clusters, so cells times vectors must stay
+#: far below vectors squared, and the centroids, a broadcast, grow with the root alone.
+CELL_ROOT = 32
 #: Vectors to a block: a task compares two blocks.
 BLOCK = 2048
 
@@ -78,12 +79,12 @@ def min_labels(hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
         a, b = na, nb
 
 
-def links(rows: DataFrame, threshold: float = THRESHOLD, fit_sample: int = FIT_SAMPLE, cell_vectors: int = CELL_VECTORS, block: int = BLOCK) -> DataFrame:
+def links(rows: DataFrame, threshold: float = THRESHOLD, fit_sample: int = FIT_SAMPLE, cells: int | None = None, block: int = BLOCK) -> DataFrame:
     """n_links, component_id and kept of every row of (vec_id, embedding, label); other columns are dropped.
 
     Vectors are compared if their labels are equal and not null and their lengths are. Null, empty and zero vectors, those with null or
     non-finite components and rows without vec_id link with nothing. Exact copies are compared once and counted each. Rows that share a
-    vec_id are vectors of their own. No rows give no rows. component_id is null where vec_id is.
+    vec_id are vectors of their own, wherever they link. No rows give no rows. component_id is null where vec_id is.
     """
     spark = rows.sparkSession
     e = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").alias("label"))
@@ -93,11 +94,12 @@ def links(rows: DataFrame, threshold: float = THRESHOLD, fit_sample: int = FIT_S
     )
     keyed = e.withColumn("usable", usable).withColumn("k1", F.xxhash64("e")).withColumn("k2", F.xxhash64(F.reverse("e"), F.lit(1)))
     keyed = keyed.select("vec_id", "label", "usable", "k1", "k2", "e")
-    distinct = keyed.where("usable").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("e").alias("e"))
-    distinct = written(distinct, "vectors")
-    n = distinct.count()
-    cells = max(1, min(MOST_CELLS, -(-n // cell_vectors)))
-    sample = [np.array(r.e) for r in distinct.orderBy(F.xxhash64("rep", "label"), "k1", "k2").limit(fit_sample).select("e").collect()] if cells > 1 else []
+    distinct = keyed.where("usable").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"), F.first("e").alias("e"))
+    # Vectors are told apart by content: rep numbers the contents of a label.
+    distinct = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    if cells is None:
+        cells = 1 + -(-int(distinct.count() ** 0.5) // CELL_ROOT)
+    sample = [np.array(r.e) for r in distinct.orderBy(F.xxhash64("k1", "label"), "k1", "k2").limit(fit_sample).select("e").collect()]
     centroids = {}
     for dim in {len(x) for x in sample}:
         centroids[dim] = spherical_kmeans(unit_rows(np.stack([x for x in sample if len(x) == dim])), cells)
@@ -162,9 +164,11 @@ def links(rows: DataFrame, threshold: float = THRESHOLD, fit_sample: int = FIT_S
     groups = components(met.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnsRenamed({"node": "rep", "component": "c"})
     counts = met.groupBy("rep").agg(F.sum("n").alias("n"))
     # Copies hang on their representative by content; a group of any size is one small row here.
-    reps = distinct.select("label", "k1", "k2", "rep").join(counts, "rep", "left").join(groups, "rep", "left").select("label", "k1", "k2", "rep", "n", "c")
+    reps = written(distinct.select("label", "k1", "k2", "rep", "low").join(counts, "rep", "left").join(groups, "rep", "left").withColumn("c", F.coalesce("c", "rep")), "reps")
+    reps = reps.join(reps.groupBy("c").agg(F.min("low").alias("least")), "c").select("label", "k1", "k2", "n", "least")
+    forget(placed)
     alone = keyed.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    others = keyed.where("usable").select("vec_id", "label", "k1", "k2").join(reps, ["label", "k1", "k2"]).select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "rep").alias("component_id"))
+    others = keyed.where("usable").select("vec_id", "label", "k1", "k2").join(reps, ["label", "k1", "k2"]).select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.col("least").alias("component_id"))
     return others.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -30,9 +30,9 @@ def brute(rows, threshold):
     return sorted(((r[0] is None, r[0] or 0), n[i], low.get(find(i)), r[0] is not None and r[0] == low[find(i)]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("cell_vectors,block", [(10_000, 4096), (12, 4096), (40, 7)])
-def test_all_links(spark, cell_vectors, block):
-    r = np.random.RandomState(cell_vectors)
+@pytest.mark.parametrize("cells,block", [(None, 4096), (20, 4096), (6, 7), (1, 4096)])
+def test_all_links(spark, cells, block):
+    r = np.random.RandomState(cells or 0)
     centres = r.normal(size=(14, 5))
     made = []
     for i in range(230):
@@ -40,10 +40,17 @@ def test_all_links(spark, cell_vectors, block):
     made += [(1000 + i, made[5][1], made[5][2]) for i in range(30)] + [(2000, [2 * x for x in made[5][1]], made[5][2]), made[7]]
     made += [(3001, None, 1), (3002, [0.0] * 5, 1), (3003, [float("nan")] * 5, 1), (3004, [1.0, None, 1.0, 1.0, 1.0], 1), (3005, made[5][1], None), (3006, [], 1), (3007, [1.0, 2.0], 1), (3008, [2.0, 4.0], 1), (None, made[5][1], 1), (3009, [float("inf")] * 5, 1)]
     df = spark.createDataFrame([(*x, "clash") for x in made], "vec_id long, embedding array<float>, label int, rep string").repartition(3)
-    got = sorted(((x.vec_id is None, x.vec_id or 0), x.n_links, x.component_id, x.kept) for x in embeddings.links(df, cell_vectors=cell_vectors, block=block).collect())
+    got = sorted(((x.vec_id is None, x.vec_id or 0), x.n_links, x.component_id, x.kept) for x in embeddings.links(df, cells=cells, block=block).collect())
     assert got == brute(made, embeddings.THRESHOLD)
 
 
+@pytest.mark.parametrize("rows", [[(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0])], [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001])], [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (4, [1.0, 0.01]), (5, [0.0, 1.0])]])
+def test_rows_that_share_an_id(spark, rows):
+    df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(((x.vec_id is None, x.vec_id or 0), x.n_links, x.component_id, x.kept) for x in embeddings.links(df).collect())
+    assert got == brute([(*x, 1) for x in rows], embeddings.THRESHOLD)
+
+
 def test_nothing(spark):
     assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
