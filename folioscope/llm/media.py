@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table, text_or_empty
+from folioscope.llm.common import table, text_or_empty, written
 
 UNIT = 192
 
@@ -325,24 +325,33 @@ def indexed(rows: DataFrame, column: str = "media") -> DataFrame:
     return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [INDEX]))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, duration_us long, crc_errors long, skipped long, seek_offsets array<long>"
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Per row of doc_id and media: the payload's and the stored form's digests, and what the frames say, all from the stored bytes."""
+    """Per row of doc_id and media: the payload's and the stored form's digests, and what the frames say, all from the stored bytes.
+
+    duration_us is exact to the microsecond below; seek_offsets has the place of every frame. crc_errors and skipped (bytes that belong to no frame) are 0
+    for a sound stream. Null media gives nulls.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for x in batch.column(1):
                 data = x.as_py()
+                if data is None:
+                    rows.append((None,) * 11)
+                    continue
                 s = parse(data)
                 payload = payload_of(data, s)
                 seek = zlib.crc32(np.array(s.offsets, "<u4").tobytes())
                 feature = f"mpeg{s.version / 10:g} layer{s.layer} {s.rate}Hz frames={s.frames} samples={s.samples} kbps={s.min_kbps}-{s.max_kbps} crc={s.checked - s.crc_errors}/{s.checked} table={s.table}:{s.table_frames} seek={seek:08x}"
-                rows.append((int(s.tags["payload_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
+                unpadded = int(s.tags.get("payload_bytes", len(payload)))
+                duration = s.samples * 1_000_000 // s.rate if s.rate else 0
+                rows.append((unpadded, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, duration, s.crc_errors, s.skipped, s.offsets))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [f.split()[0] for f in DIGEST.split(", ")])
 
     return media.select("doc_id", "media").mapInArrow(run, DIGEST)
@@ -350,7 +359,7 @@ def read_back(media: DataFrame) -> DataFrame:
 
 def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("content"))
-    return read_back(stored(docs))
+    return read_back(written(stored(docs), "media"))
 
 
 QUERIES = {"op2_mpeg_audio": op2_mpeg_audio}
