@@ -56,6 +56,7 @@ def with_added(docs: DataFrame, column: str, new: list[StructField], compute: Ca
     fields = [StructField(f"c{k}", docs.schema[k].dataType) for k in keep] + [StructField(f"n{k}", f.dataType) for k, f in enumerate(new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(("texts",), bool)  # lets go of what another operator kept in this worker
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *compute(batch.column(0))], [f.name for f in fields])
 
