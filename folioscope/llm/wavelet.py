@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import forget, kept, table, text_or_empty, written
+from folioscope.llm.common import kept, table, text_or_empty, written
 from folioscope.llm.pieces import ByteLevelEncoder, encoded_batch
 
 MAGIC = b"FSWM"
@@ -47,8 +48,9 @@ def build(tokens: np.ndarray, doc_ids, counts, planes: int = 16) -> bytes:
         packed = np.concatenate([packed, np.zeros(words - len(packed), np.uint8)])
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
         body += [packed.tobytes(), np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]).tobytes()]
-        zeros.append(n - int(np.count_nonzero(bit)))
-        at = np.concatenate([at[~bit], at[bit]])
+        low = at.compress(~bit)
+        zeros.append(len(low))
+        at = np.concatenate([low, at.compress(bit)])
     head = _HEAD.pack(MAGIC, 2, planes, 0, n, len(doc_ids))
     return b"".join([head, np.asarray(doc_ids, "<i8").tobytes(), np.packbits(null, bitorder="little").tobytes(), np.asarray(counts, "<u4").tobytes(), np.asarray(zeros, "<u8").tobytes(), *body])
 
@@ -136,8 +138,15 @@ class WaveletMatrix:
         r = self.ranks[plane].astype(np.int64)
         before = r if bit else np.arange(len(r)) * BLOCK - r
         block = np.searchsorted(before, k, "right") - 1
-        rows = np.unpackbits(self.bits[plane].reshape(-1, BLOCK // 8)[block], axis=1, bitorder="little") == bit
-        return block * BLOCK + (np.cumsum(rows, 1, dtype=np.int16) > (k - before[block])[:, None]).argmax(1)
+        left = k - before[block]
+        # The word of the block by the bits before each word, then the place in the word.
+        words = self.bits[plane].view(np.uint64).reshape(-1, BLOCK // 64)[block]
+        words = words if bit else ~words
+        upto = np.cumsum(np.bitwise_count(words), 1, dtype=np.int64)
+        word, row = (upto <= left[:, None]).sum(1), np.arange(len(k))
+        left -= np.where(word > 0, upto[row, word - 1], 0)
+        inside = np.unpackbits(np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return block * BLOCK + word * 64 + (np.cumsum(inside, 1, dtype=np.int16) > left[:, None]).argmax(1)
 
     def select_many(self, token: int, k: np.ndarray) -> np.ndarray:
         """Position of the k-th (from 0) occurrences of token."""
@@ -169,8 +178,8 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             bit = np.unpackbits(self.bits[p], count=self.n, bitorder="little").astype(bool)
             out = np.empty_like(low)
-            out[~bit] = low[: self.zeros[p]]
-            out[bit] = low[self.zeros[p] :] | low.dtype.type(1 << (self.planes - 1 - p))
+            out[np.flatnonzero(~bit)] = low[: self.zeros[p]]
+            out[np.flatnonzero(bit)] = low[self.zeros[p] :] | low.dtype.type(1 << (self.planes - 1 - p))
             low = out
         return low
 
@@ -178,31 +187,50 @@ class WaveletMatrix:
 SHARDS = "part long, seq long, first_doc long, part_start long, tokens long, docs long, blob binary"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Per document doc_id, lead (its first 16 bytes) and ids (unsigned 16-bit, with end_id): what a shard is ordered by and made of."""
+#: Documents that are looked at for each range, to cut ranges of doc_id.
+SAMPLED = 200
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, lead (the text's first 16 bytes), row (its place in the table) and text."""
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.encode(text, "UTF-8"), 1, 16).alias("lead"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+
+
+def _key(doc_id: int | None, lead: bytes, row: int) -> tuple:
+    return doc_id is not None, doc_id or 0, bytes(lead), row
+
+
+def ranges(rows: DataFrame, parts: int) -> list[tuple]:
+    """Keys that cut the rows into about equal ranges, at most parts of them, from a sample whose size depends on parts alone."""
+    n = rows.count()
+    some = rows.select("doc_id", "lead", "row") if n <= SAMPLED * parts else rows.select("doc_id", "lead", "row").sample(False, SAMPLED * parts / n, 7)
+    keys = sorted(_key(*r) for r in some.collect())
+    return [keys[k * len(keys) // parts] for k in range(1, parts)] if len(keys) >= parts else keys[1:]
+
+
+def encoded(rows: DataFrame, path: str, bounds: list[tuple], end_id: int = END_ID) -> DataFrame:
+    """Per document of keyed() its key, the number of its range and ids (unsigned 16-bit, with end_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = kept(("byte-level", path), lambda: ByteLevelEncoder(path)), np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            got = pa.array([x.tobytes() + end for x in encoded_batch(encoder, batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), got], ["doc_id", "lead", "ids"])
+            got = pa.array([x.tobytes() + end for x in encoded_batch(encoder, batch.column(3))], pa.binary())
+            part = [bisect_right(bounds, _key(*k)) for k in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *batch.columns[:3], got], ["part", "doc_id", "lead", "row", "ids"])
 
-    text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.substring(F.encode(text, "UTF-8"), 1, 16).alias("lead"))
-    return rows.mapInArrow(run, "doc_id long, lead binary, ids binary")
+    return rows.mapInArrow(run, "part int, doc_id long, lead binary, row long, ids binary")
 
 
 def shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """Rows of documents as shards in ascending doc_id order: ranges of doc_id by partition, a blob after every shard_tokens tokens.
+    """Rows of documents as shards in ascending doc_id order, written: ranges of doc_id by partition, a blob after every shard_tokens tokens.
 
     A null text is empty; a null doc_id sorts first. Rows with equal doc_id are documents of their own, ordered by their first bytes,
-    then by a hash of their ids; however many they are, ranges may part them. Texts are encoded where they are, so that only ids are dealt out.
+    then by their place in the table; however many they are, ranges may part them. Texts are encoded where they are, so that only ids are dealt out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seq, start = TaskContext.get().partitionId(), 0, 0
+        part, seq, start = 0, 0, 0
         ids: list = []
         got: list[bytes] = []
         size = 0
@@ -217,7 +245,11 @@ def shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, end_id:
             return out
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for of, d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if of != part:
+                    if ids:
+                        yield close()
+                    part, seq, start = of, 0, 0
                 ids.append(d)
                 got.append(x.as_py())
                 size += len(got[-1]) // 2
@@ -226,12 +258,10 @@ def shards(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, end_id:
         if ids:
             yield close()
 
-    # Written, as cutting ranges reads the rows twice.
-    rows = written(encoded(docs, path, end_id).withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()}), "tokens")
-    order = ["doc_id", "lead", "tie", "row"]
-    stored = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(run, SHARDS), "wavelet")
-    forget(rows)
-    return stored
+    rows, parts = keyed(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = ranges(rows, parts)
+    dealt = encoded(rows, path, bounds, end_id).repartitionById(len(bounds) + 1, "part")
+    return written(dealt.sortWithinPartitions("part", "doc_id", "lead", "row").select("part", "doc_id", "ids").mapInArrow(run, SHARDS), "wavelet")
 
 
 def documents_of(stored: DataFrame, end_id: int = END_ID) -> DataFrame:
