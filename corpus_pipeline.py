@@ -6,6 +6,7 @@ Each stage works on all that the one before it kept. run() writes each stage's r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm import jaccard, packing, quality, toxicity
 from folioscope.llm.common import ship, table, written
@@ -26,11 +27,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies. Rows that share a doc_id are one document; rows without one can't be told apart and stay."""
+    """The document of smallest doc_id of each group of near copies.
+
+    Rows that share a doc_id are one document: the one of smallest text (null before any), then of smallest other columns, stays. Rows without a doc_id
+    can't be told apart and stay. Columns that have no order (maps) don't decide.
+    """
     ship(spark)
     kept = jaccard.joined(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    order = F.struct("text", *(f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()))
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return first.unionByName(docs.where("doc_id is null"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
