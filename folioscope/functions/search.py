@@ -65,7 +65,7 @@ def _fits(needle: str, text: str, a: int, b: int) -> bool:
 
 
 def approximate_search(needle: str, text: str, min_score: float = MIN_SCORE) -> list[tuple[int, int, int, float]]:
-    """(start, end, distance, score) of places that don't overlap, in text order; the best of overlapping ones. Offsets are code points."""
+    """(start, end, distance, score) of places that don't overlap, the best (fewest edits, then first) first; of overlapping ones the best stays. Offsets are code points."""
     m = len(needle)
     if not m or not text:
         return []
@@ -77,7 +77,12 @@ def approximate_search(needle: str, text: str, min_score: float = MIN_SCORE) ->
         s = _start(d, needle, text, e)
         if s < e and all(e <= a or s >= b for a, b, *_ in found) and _fits(needle, text, s, e):
             found.append((s, e, int(d[m, e]), 1 - int(d[m, e]) / m))
-    return sorted(found)
+    return found
+
+
+def best_match(needle: str, text: str, min_score: float = MIN_SCORE) -> tuple[int, int, int, float] | None:
+    """The best place, or None."""
+    return next(iter(approximate_search(needle, text, min_score)), None)
 
 
 def search_column(needle, text, min_score: float = MIN_SCORE):

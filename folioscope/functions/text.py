@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -10,21 +11,35 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Typographic characters and what they are read as.
-TYPOGRAPHY = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "«": '"', "»": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "―": "-", "−": "-", "…": "...", "•": " ", "·": " ", "­": "", "​": "", "﻿": ""}
-# Letters that fold to others than their decomposition says.
-FOLDED = {"ß": "s", "ẞ": "S", "ø": "o", "Ø": "O", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ŧ": "t", "Ŧ": "T", "ĸ": "k", "ŋ": "n", "Ŋ": "N"}
-# Shapes that readers take for each other.
-CONFUSED = {"rn": "m", "cl": "d", "vv": "w", "0": "o", "1": "l", "i": "l", "|": "l", "5": "s", "8": "b"}
+# Typographic characters and what they are read as - single quotes and prime, double quotes and double prime, hyphens and dashes,
+# ellipsis, no-break and typographic spaces, and what has no width.
+TYPOGRAPHY = (
+    dict.fromkeys("\u2018\u2019\u201a\u201b\u2032", "'")
+    | dict.fromkeys("\u201c\u201d\u201e\u201f\u2033", '"')
+    | dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-")
+    | {"\u2026": "..."}
+    | dict.fromkeys(["\u00a0", *map(chr, range(0x2000, 0x200B)), "\u202f", "\u205f", "\u3000"], " ")
+    | dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff", "")
+)
+# Letters whose name doesn't say what they fold to.
+FOLDED = {"\u0131": "i", "\u0149": "n", "\u017f": "l", "\u1e9b": "s", "\u008c": "OE", "\u009c": "oe"}
+# Where letters that fold lie, and those there that don't.
+LETTERS = [*range(0xC0, 0x250), 0x250, 0x253, 0x254, 0x256, 0x257, 0x25B, 0x260, 0x265, 0x268, 0x26B, 0x26F, 0x271, 0x272, 0x275, 0x27D, 0x288, 0x289, 0x28B, 0x28C, 0x1D79, 0x1D7D, *range(0x1E00, 0x1F00), 0x2184, *range(0x24B6, 0x24EA), *range(0x2C60, 0x2C80), *range(0xA728, 0xA76A), *range(0xA779, 0xA78E), 0xA790, 0xA791, *range(0xA7A0, 0xA7AA), *range(0xFF21, 0xFF5B)]
+KEPT = {0x132, 0x133, 0x1AB, 0x237, 0x246}
+# Shapes that readers take for each other, pairs first.
+CONFUSED = {"rn": "m", "cl": "d", "vv": "w", "0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "8": "b", "6": "b", "2": "z"}
+_LETTER = re.compile(r"(?:CIRCLED |FULLWIDTH )?LATIN (CAPITAL|SMALL) (?:LETTER|LIGATURE) (?:(?:SMALL|OPEN|REVERSED|TURNED|INSULAR|BROKEN|BARRED|SHARP|AFRICAN|HALF) )*([A-Z]{1,2})(?: BAR| WITH SMALL LETTER ([A-Z])(?: WITH .*)?| WITH (?!CURL|RIGHT HOOK|NOTCH|LOW RING|RETROFLEX HOOK AND BELT)[^,]*)?")
 
 
 def diacritics() -> dict[str, str]:
-    """Latin letters by the ASCII letters that they decompose to, and the exceptions."""
+    """Latin letters with marks, hooks, strokes, circles, other widths or turned, and ligatures, by the plain letters that their Unicode names say."""
     out = {}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalpha())
-        if base and base != c:
-            out[c] = base
+    for code in LETTERS:
+        m = _LETTER.fullmatch(unicodedata.name(chr(code), ""))
+        # A turned letter with a tail, or a small one among capitals' names, is a letter of its own.
+        if m and code not in KEPT and "TURNED R" not in m[0] and "SMALL CAPITAL" not in m[0]:
+            base = m[2] + m[3].lower() if m[3] else m[2] if m[1] == "CAPITAL" else m[2].lower()
+            out[chr(code)] = base
     return out | FOLDED
 
 
@@ -34,8 +49,15 @@ def _replaced(c: Column, table: dict[str, str]) -> Column:
     # translate drops characters that have no counterpart, so those come last.
     order = sorted(single, key=lambda k: not single[k])
     for k, v in table.items():
-        if k not in single:
+        if len(k) > 1:
             c = F.replace(c, F.lit(k), F.lit(v))
+    # Letters that become two are rare: a text without any is looked through once.
+    long = {k: v for k, v in table.items() if len(k) == 1 and len(v) > 1}
+    if long:
+        out = c
+        for k, v in long.items():
+            out = F.replace(out, F.lit(k), F.lit(v))
+        c = F.when(c.rlike("[" + "".join(f"\\x{{{ord(k):x}}}" for k in long) + "]"), out).otherwise(c)
     return F.translate(c, "".join(order), "".join(single[k] for k in order)) if order else c
 
 
@@ -77,12 +99,16 @@ def compatible(c: Column) -> Column:
 
 
 def dehyphenate(c: Column) -> Column:
-    """A word broken at a line's end is joined if it goes on in lower case."""
-    return F.regexp_replace(c, r"(\p{L})-[ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")
+    """A word broken at a line's end, by any hyphen, is joined if it goes on in lower case."""
+    return F.regexp_replace(c, r"(\p{L})[-\u00ad\u2010\u2011][ \t]*\r?\n[ \t]*(?=\p{Ll})", "$1")
+
+
+#: White space as a class of regular expressions: Unicode's, and the byte-order mark.
+SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
 def drop_noise(c: Column) -> Column:
@@ -90,16 +116,29 @@ def drop_noise(c: Column) -> Column:
     return F.array_join(F.filter(F.split(collapse(c), " "), lambda x: x.rlike(r"[\p{L}\p{N}\p{Sc}]")), " ")
 
 
-def normalise(c: Column, compatibility: bool = True, punctuation: bool = True, confusables: bool = False) -> Column:
-    """NFKC, typography, dehyphenation, diacritics, lower case, noise, [punctuation], [confusables], white space - in this order."""
+def normalise(c: Column, compatibility: bool = True, punctuation: bool = True, confusables: bool = False, typography: bool = True, dehyphenation: bool = True, folding: bool = True, case: bool = True, noise: bool = True) -> Column:
+    """NFKC, typography, dehyphenation, diacritics, lower case, noise, [punctuation], [confusables], white space - in this order, each unless turned off."""
     c = compatible(c) if compatibility else c
-    c = F.lower(fold_diacritics(dehyphenate(fold_typography(c))))
-    c = drop_noise(c)
+    c = fold_typography(c) if typography else c
+    c = dehyphenate(c) if dehyphenation else c
+    c = fold_diacritics(c) if folding else c
+    c = F.lower(c) if case else c
+    c = drop_noise(c) if noise else c
     if not punctuation:
-        c = F.regexp_replace(c, r"\p{P}", "")
+        c = F.regexp_replace(c, r"\p{P}+", " ")
     return collapse(fold_confusables(c) if confusables else c)
 
 
+def edge_trimmed(c: Column) -> Column:
+    """A word without punctuation at its ends."""
+    return F.regexp_replace(c, r"^\p{P}+|\p{P}+$", "")
+
+
+def keys(c: Column) -> Column:
+    """The words of a normalised text without punctuation at their ends; those of nothing else go."""
+    return F.filter(F.transform(tokens(c), edge_trimmed), lambda x: x != "")
+
+
 def tokens(normalised: Column) -> Column:
     return F.when(normalised == "", F.array().cast("array<string>")).otherwise(F.split(normalised, " "))
 

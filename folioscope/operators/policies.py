@@ -25,7 +25,7 @@ def select_pages(selection: str | None, pages: int) -> list[int]:
         if not part:
             continue
         m = re.fullmatch(r"(\d*)\s*(-?)\s*(\d*)", part)
-        if not m or not (m[1] or m[3]):
+        if not m or not (m[1] or m[3]) or (m[3] and not m[2]):
             raise ValueError(f"can't read {part!r}")
         first = int(m[1]) if m[1] else 1
         last = (int(m[3]) if m[3] else pages) if m[2] else first

@@ -49,7 +49,7 @@ def fold_diacritics(spark, d):
     return read(spark, d, "documents").select("doc_id", T.fold_diacritics(F.col("text")).alias("folded"))
 
 
-@query("fold_confusables", "SELECT doc_id, translate(replace(replace(replace(lower(text), 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '01i|58', 'olllsb') AS folded FROM documents")
+@query("fold_confusables", "SELECT doc_id, translate(replace(replace(replace(lower(text), 'rn', 'm'), 'cl', 'd'), 'vv', 'w'), '01i|!5862', 'ollllsbbz') AS folded FROM documents")
 def fold_confusables(spark, d):
     return read(spark, d, "documents").select("doc_id", T.fold_confusables(F.lower("text")).alias("folded"))
 
@@ -184,7 +184,7 @@ def find_content_exact(spark, d):
 
 @query("approximate_search")
 def approximate_search(spark, d):
-    """Each whole line of a message looked for in the whole next message, with edits: all places, offsets in its normalised text."""
+    """Each whole line of a message looked for in the whole next message, with edits: all places, the best first, offsets in its normalised text."""
     c = read(spark, d, "conversations").select("conv_id", "turn", "text")
     lines = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\r?\n")).alias("line", "text")).select("conv_id", "turn", "line", clean("text").alias("needle")).where("needle <> ''")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), clean("text").alias("y"))
@@ -205,7 +205,7 @@ def option_fingerprint(spark, d):
 @query("edge_punctuation", "SELECT conv_id, turn, '[' || array_to_string(list_transform(string_split_regex(trim(text), '\\s+'), lambda x: regexp_replace(regexp_replace(x, '^[[:punct:]]+', ''), '[[:punct:]]+$', '')), ', ') || ']' AS keys FROM (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ,.\n]', '', 'g') AS text FROM conversations)")
 def edge_punctuation(spark, d):
     t = F.regexp_replace("text", "[^A-Za-z ,.\n]", "")
-    keys = F.transform(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+"), lambda x: F.regexp_replace(x, r"^\p{P}+|\p{P}+$", ""))
+    keys = F.transform(F.split(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\s+"), T.edge_trimmed)
     return read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(keys, ", "), F.lit("]")).alias("keys"))
 
 

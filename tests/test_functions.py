@@ -10,7 +10,7 @@ def test_page_selection():
     assert policies.select_pages("1-3, 5,5", 8) == [1, 2, 3, 5]
     assert policies.select_pages("6-", 8) == [6, 7, 8] and policies.select_pages("-2", 8) == [1, 2]
     assert policies.select_pages(" , ", 8) == [] and policies.select_pages(None, 2) == [1, 2]
-    for bad in ("3-1", "9", "0", "x", "-", "7-9"):
+    for bad in ("3-1", "9", "0", "x", "-", "7-9", "3 5"):
         with pytest.raises(ValueError):
             policies.select_pages(bad, 8)
 
@@ -47,7 +47,8 @@ def brute(needle, hay):
 
 
 def test_search():
-    assert search.approximate_search("invoice", "an invoce, an invoice") == [(11 - 8, 10 - 1, 1, 1 - 1 / 7), (14, 21, 0, 1.0)]
+    assert search.approximate_search("invoice", "an invoce, an invoice") == [(14, 21, 0, 1.0), (11 - 8, 10 - 1, 1, 1 - 1 / 7)]
+    assert search.best_match("invoice", "an invoce, an invoice") == (14, 21, 0, 1.0) and search.best_match("zzz", "abc") is None
     assert search.approximate_search("12.50", "x 112.50 y") == []
     assert search.approximate_search("", "abc") == [] and search.approximate_search("abc", "") == []
     for needle, hay in (("abca", "xabxcabca"), ("hello", "yellow helo"), ("aaa", "aaaa")):

@@ -4,6 +4,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.plans import registry
@@ -28,7 +29,7 @@ def test_needles_are_whole_lines(spark, put):
     d = put("conversations", rows, "conv_id long, turn long, text string")
     got = {(r.turn, r.line): r for r in registry.queries()["approximate_search"](spark, d).collect()}
     assert got[0, 0].needle == "one two three four five six" and got[0, 2].needle == "something that is never said again"
-    assert [p.distance for p in got[0, 0].places] == [1, 0] and (got[0, 0].n_places, got[0, 0].first_distance) == (2, 1)
+    assert [p.distance for p in got[0, 0].places] == [0, 1] and (got[0, 0].n_places, got[0, 0].first_distance) == (2, 0)
     assert (got[0, 2].n_places, got[0, 2].first_distance) == (0, None)
     # The first three words alone would be found here.
     assert got[1, 0].n_places == 0
@@ -56,3 +57,33 @@ def test_stable_characters_are_those_that_nfkc_keeps():
     # Each alone, and none of them takes part in a composition: no starter of a pair that composes ends in one of them.
     assert all(unicodedata.is_normalized("NFKC", c) and unicodedata.combining(c) == 0 for c in stable)
     assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in stable for b in stable)
+
+
+#: What normalisation must give: the fixture's own cases.
+CASES = [
+    ("Crème Brûlée ﬁnal ＡＢＣ Æsir", {}, "creme brulee final abc aesir"),
+    ("informa-\ntion and well-known", {}, "information and well-known"),
+    ("informa\u00ad \r\n tion, infor\u2010\nMation", {}, "information, infor- mation"),
+    ("\u201cIt\u2019s\u201d 10\u201312\u00a0pm\u200b\u2026", {}, "\"it's\" 10-12 pm..."),
+    ("Total | 1,250.00 ___ ~ \u2022 ¥ .", {}, "total 1,250.00 ¥"),
+    ("Ref 1O-5S rn", {}, "ref 1o-5s rn"),
+    ("Ref 1O-5S rn", {"punctuation": False, "confusables": True}, "ref lo ss m"),
+    ("12!6 cl 2z", {"confusables": True}, "lzlb d zz"),
+    ("Crème\t | ", {"compatibility": False, "typography": False, "dehyphenation": False, "folding": False, "case": False, "noise": False}, "Crème |"),
+    ("5\u2032 6\u2033 «a» b\u00b7c d\u200ce", {}, "5' 6\" «a» b·c de"),
+]
+
+
+def test_normalisation_cases(spark):
+    for written, options, want in CASES:
+        got = spark.createDataFrame([(written,)], "t string").select(text.normalise(F.col("t"), **options).alias("n")).first().n
+        assert got == want, (written, options)
+
+
+def test_letters_that_fold():
+    table = text.diacritics()
+    assert len(table) > 780 and not any(x.isascii() for x in table)
+    want = {"é": "e", "Ø": "O", "Œ": "OE", "ǅ": "Dz", "ǳ": "dz", "ſ": "l", "ẛ": "s", "ß": "s", "ẞ": "S", "Ⓐ": "A", "ｚ": "z", "ꜳ": "aa", "ʌ": "v", "ɐ": "a", "Ɖ": "D", "Ɋ": "Q", "Ⱶ": "H", "ƕ": "hv", "ŉ": "n", "ı": "i", "Ʉ": "U", "ɵ": "o", "ↄ": "c", "ꞁ": "l"}
+    assert {k: table.get(k) for k in want} == want
+    # Letters of their own stay.
+    assert not {*"ÞþÐðŊŋĸĲĳƏəƷȷɆƫⱱⱴȡ"} & set(table)
