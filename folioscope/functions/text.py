@@ -43,6 +43,10 @@ def diacritics() -> dict[str, str]:
     return out | FOLDED
 
 
+_PLAIN, _FOLDS = str.maketrans(TYPOGRAPHY), str.maketrans(diacritics())
+_LINE_END = re.compile(r"(?<=[^\W\d_])[-\u00ad\u2010\u2011][ \t]*\r?\n[ \t]*(?=[^\W\d_A-Z])")
+
+
 def _replaced(c: Column, table: dict[str, str]) -> Column:
     """Single characters in one translate; the rest one by one, in order."""
     single = {k: v for k, v in table.items() if len(k) == 1 and len(v) <= 1}
@@ -129,6 +133,28 @@ def normalise(c: Column, compatibility: bool = True, punctuation: bool = True, c
     return collapse(fold_confusables(c) if confusables else c)
 
 
+def normalised_of(text: str) -> str:
+    """normalise() with its defaults, for a single text."""
+    t = unicodedata.normalize("NFKC", text).translate(_PLAIN)
+    t = _LINE_END.sub("", t).translate(_FOLDS).lower()
+    return " ".join(w for w in t.split() if any(unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Sc" for c in w))
+
+
+def keys_of(text: str) -> list[str]:
+    """keys() for a single text."""
+    edge = lambda c: unicodedata.category(c)[0] == "P"
+    out = []
+    for w in normalised_of(text).split():
+        a, b = 0, len(w)
+        while a < b and edge(w[a]):
+            a += 1
+        while b > a and edge(w[b - 1]):
+            b -= 1
+        if a < b:
+            out.append(w[a:b])
+    return out
+
+
 def edge_trimmed(c: Column) -> Column:
     """A word without punctuation at its ends."""
     return F.regexp_replace(c, r"^\p{P}+|\p{P}+$", "")

@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 #: Modules that register queries when they are imported.
-MODULES = ["texts", "policies", "rasters"]
+MODULES = ["texts", "policies", "rasters", "findings"]
 
 
 def _load() -> None:

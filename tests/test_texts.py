@@ -70,7 +70,7 @@ CASES = [
     ("Ref 1O-5S rn", {"punctuation": False, "confusables": True}, "ref lo ss m"),
     ("12!6 cl 2z", {"confusables": True}, "lzlb d zz"),
     ("Crème\t | ", {"compatibility": False, "typography": False, "dehyphenation": False, "folding": False, "case": False, "noise": False}, "Crème |"),
-    ("5\u2032 6\u2033 «a» b\u00b7c d\u200ce", {}, "5' 6\" «a» b·c de"),
+    ("5\u2032 6\u2033 «a» b\u00b7c d\u200ce", {}, "5' 6'' «a» b·c de"),
 ]
 
 
