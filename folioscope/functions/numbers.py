@@ -65,8 +65,9 @@ def civil_days(year: Column, month: Column, day: Column) -> Column:
 
 
 def date_utc(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
-    """Milliseconds from the epoch; fields outside their range roll over, and beyond DATE_LIMIT there is none (null)."""
-    ms = civil_days(year, month, day).cast("double") * 86_400_000 + hour * 3_600_000.0 + minute * 60_000.0 + second * 1000.0
+    """Milliseconds from the epoch; months count from 0, years below 100 are of the twentieth century, fields outside their range roll over, and beyond DATE_LIMIT there is none (null)."""
+    year = F.when(year.between(0, 99), year + 1900).otherwise(year)
+    ms = civil_days(year, month + 1, day).cast("double") * 86_400_000 + hour * 3_600_000.0 + minute * 60_000.0 + second * 1000.0
     return F.when(F.abs(ms) <= DATE_LIMIT, ms)
 
 

@@ -64,7 +64,7 @@ def viewport_points(spark, d):
 )
 def date_utc(spark, d):
     o = read(spark, d, "orders")
-    return o.select("o_orderkey", N.date_utc(1900 + F.col("o_custkey") % 200, F.col("o_custkey") % 40 - 12, F.col("o_orderkey") % 90 - 30, F.col("o_orderkey") % 50, F.lit(59), F.lit(61)).alias("ms"))
+    return o.select("o_orderkey", N.date_utc(1900 + F.col("o_custkey") % 200, F.col("o_custkey") % 40 - 13, F.col("o_orderkey") % 90 - 30, F.col("o_orderkey") % 50, F.lit(59), F.lit(61)).alias("ms"))
 
 
 @query(
