@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
@@ -97,16 +97,16 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.base + self.slope * statistic))))
 
 
-def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float, prior: float = PRIOR, sure: float = SURE) -> Column:
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float, prior: float = PRIOR, sure: float = SURE) -> np.ndarray:
     """Shrunk log-odds of words in toxic and clean documents, of n_toxic and n_clean, with a Dirichlet prior in proportion to all."""
-    n = n_toxic + n_clean
-    share = (toxic + clean) / F.lit(n)
-    alpha = share * F.lit(prior)
-    odds = lambda y, of: F.log((y + alpha) / F.greatest(F.lit(1e-9), F.lit(of + prior) - y - alpha))
-    part = lambda k, of, p: F.when(k > 0, k * F.log(k / (F.lit(of) * p))).otherwise(F.lit(0.0))
-    rest = F.greatest(F.lit(1.0) - share, F.lit(1e-12))
-    g = 2 * (part(toxic, n_toxic, share) + part(F.lit(n_toxic) - toxic, n_toxic, rest) + part(clean, n_clean, share) + part(F.lit(n_clean) - clean, n_clean, rest))
-    return F.when(g > sure**2, (odds(toxic, n_toxic) - odds(clean, n_clean)) * (1 - sure**2 / g)).otherwise(F.lit(0.0))
+    share = (toxic + clean) / (n_toxic + n_clean)
+    alpha = share * prior
+    odds = lambda y, of: np.log((y + alpha) / np.maximum(1e-9, of + prior - y - alpha))
+    part = lambda k, of, p: np.where(k > 0, k * np.log(np.maximum(k, 1e-12) / (of * p)), 0.0)
+    rest = np.maximum(1.0 - share, 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (part(toxic, n_toxic, share) + part(n_toxic - toxic, n_toxic, rest) + part(clean, n_clean, share) + part(n_clean - clean, n_clean, rest))
+        return np.where(g > sure**2, (odds(toxic, n_toxic) - odds(clean, n_clean)) * (1 - sure**2 / g), 0.0)
 
 
 def decay(values: np.ndarray, shares: np.ndarray) -> float:
@@ -183,13 +183,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, prior: float =
         model.base = 4.0 if toxic else -4.0
         return model
     without = [[g for g in folds if g != f] for f in folds] + [list(folds)]
-    total = lambda x, of: sum((F.col(f"{x}{g}") for g in of), F.lit(0))
-    columns = []
-    for k, of in enumerate(without):
-        n_toxic, n_clean = (float(sum(all_of[f"{x}{g}"] for g in of)) for x in "tc")
-        enough = (total("t", of) + total("c", of) >= least) & F.lit(n_toxic > 0 and n_clean > 0)
-        columns.append(F.when(enough, log_odds(total("t", of).cast("double"), total("c", of).cast("double"), max(n_toxic, 1.0), max(n_clean, 1.0), prior, sure)).otherwise(F.lit(0.0)).alias(f"w{k}"))
-    known = counts.where("word is not null").select("word", total("k", folds).alias("tokens"), *columns).where(" or ".join(f"w{k} != 0" for k in range(len(without)))).orderBy("word").toArrow()
+    sizes = [tuple(float(sum(all_of[f"{x}{g}"] for g in of)) for x in "tc") for of in without]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic, clean, tokens = (np.stack([c.to_numpy() for c in batch.columns[1 + k * FOLDS : 1 + (k + 1) * FOLDS]]).astype(float) for k in range(3))
+            found = []
+            for of, (n_toxic, n_clean) in zip(without, sizes, strict=True):
+                t, c, w = toxic[of].sum(0), clean[of].sum(0), np.zeros(batch.num_rows)
+                often = (t + c >= least) & (n_toxic > 0) & (n_clean > 0)
+                w[often] = log_odds(t[often], c[often], n_toxic, n_clean, prior, sure) if often.any() else 0.0
+                found.append(w)
+            some = np.flatnonzero(np.any(found, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(tokens.sum(0)[some].astype(np.int64)), *(pa.array(w[some]) for w in found)], ["word", "tokens", *(f"w{k}" for k in range(len(without)))])
+
+    known = counts.where("word is not null").mapInArrow(weigh, ", ".join(["word string", "tokens long", *(f"w{k} double" for k in range(len(without)))])).orderBy("word").toArrow()
     words, tokens = known.column("word").to_pylist(), known.column("tokens").to_numpy()
     weights = [known.column(f"w{k}").to_numpy() for k in range(len(without))]
     models = [{w: x for w, x in zip(words, v.tolist(), strict=True) if x} for v in weights]
