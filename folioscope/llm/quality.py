@@ -222,11 +222,15 @@ def collected(tables: DataFrame) -> Model:
     return Model(by_order("p"), by_order("back"))
 
 
-def with_perplexity(docs: DataFrame, tables: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
-    """docs with perplexity (null where a text has no words); a column of that name, whatever its case, is replaced."""
-    if tables.count() > broadcast_entries:
+def shared_model(tables: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES):
+    """The model as a broadcast, or None if it has too many entries for one."""
+    return None if tables.count() > broadcast_entries else tables.sparkSession.sparkContext.broadcast(collected(tables))
+
+
+def with_perplexity(docs: DataFrame, tables: DataFrame, shared) -> DataFrame:
+    """docs with perplexity (null where a text has no words), by what shared_model gives; a column of that name, whatever its case, is replaced."""
+    if shared is None:
         return _joined(docs, tables)
-    shared = docs.sparkSession.sparkContext.broadcast(collected(tables))
 
     def compute(texts: pa.Array) -> list[pa.Array]:
         sums, n = shared.value.texts(texts.to_pylist())
@@ -314,10 +318,11 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, broa
     """
     held_out = F.pmod(F.xxhash64(text_or_empty()), F.lit(HELD_OUT)) == 0
     tables = model_tables(counted(trusted.where(~held_out).select(text_or_empty().alias("text"))))
-    known = written(with_perplexity(trusted.where(held_out).select("lang", "text"), tables, broadcast_entries).select("lang", "perplexity"), "trusted")
+    shared = shared_model(tables, broadcast_entries)
+    known = written(with_perplexity(trusted.where(held_out).select("lang", "text"), tables, shared).select("lang", "perplexity"), "trusted")
     limits, general = language_limits(known, quantile)
     names = [n for n in docs.columns if n.lower() not in ("perplexity", "limit", "rejected")]
-    scored = with_perplexity(docs.select(*(F.col(f"`{n.replace('`', '``')}`") for n in names)), tables, broadcast_entries)
+    scored = with_perplexity(docs.select(*(F.col(f"`{n.replace('`', '``')}`") for n in names)), tables, shared)
     # By position, whatever the names are. A language is a row here, so Spark broadcasts the limits if they are small and splits a hot language if not.
     lang, p = f"c{names.index('lang')}", f"c{len(names)}"
     plain = scored.toDF(*(f"c{k}" for k in range(len(names) + 1)))

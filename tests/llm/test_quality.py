@@ -70,7 +70,7 @@ def test_perplexity_is_the_definition(spark, entries):
     docs = frame(spark, [*good, *bad, *ROWS, good[0]])
     tables = quality.model_tables(quality.counted(trusted))
     direct = Direct([t for _, t, *_ in good[:80]])
-    got = quality.with_perplexity(docs, tables, entries).collect()
+    got = quality.with_perplexity(docs, tables, quality.shared_model(tables, entries)).collect()
     assert len(got) == len(good) + len(bad) + len(ROWS) + 1
     for r in got:
         want = direct.perplexity(r.text or "")
