@@ -14,7 +14,7 @@ from folioscope.llm.common import table, text_or_empty, written
 
 _mark = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 #: A line that only announces a quotation, right before one.
-_announced = re.compile(r"(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió|[-\s]*original message[-\s]*)\s*:?\s*$", re.I)
+_announced = re.compile(r"(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió|[-\s]*original message[-\s]*)\s*:?\s*$", re.I)
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -102,18 +102,20 @@ def rewrapped(rows: DataFrame, whole: DataFrame, left: DataFrame) -> DataFrame:
         for batch in batches:
             got = [(c, t, *q) for c, t, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for q in quoted_wordings(text)]
             columns = list(zip(*got, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_()]
+            kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "hash", "level", "wording", "sentence"])
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(c, t, h) for c, t, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for h in {h for line in wordings(text.split("\n")) for h, _ in line}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*got, strict=True)) or [[]] * 3], ["conv_id", "turn", "wording"])
+            kinds = [batch.column(0).type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*got, strict=True)) or [[]] * 3, kinds, strict=True)], ["conv_id", "turn", "wording"])
 
-    raw = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text_or_empty().alias("text"))
-    asks = raw.join(left.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi").mapInArrow(asked, "conv_id long, turn long, hash long, level int, wording long, sentence boolean")
+    raw = rows.select("conv_id", F.col("turn").try_cast("long").alias("turn"), text_or_empty().alias("text"))
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    asks = raw.join(left.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi").mapInArrow(asked, f"conv_id {kind}, turn long, hash long, level int, wording long, sentence boolean")
     asks = asks.join(left, ["conv_id", "turn", "hash"], "left_semi").select("conv_id", "turn", "hash", "wording", "sentence").distinct()
-    owns = whole.join(left.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(owned, "conv_id long, turn long, wording long")
+    owns = whole.join(left.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", "text").mapInArrow(owned, f"conv_id {kind}, turn long, wording long")
     first = owns.groupBy("conv_id", "wording").agg(F.min("turn").alias("source"))
     met = asks.join(first, ["conv_id", "wording"], "left").withColumn("source", F.expr("CASE WHEN source < turn THEN source END"))
     each = met.groupBy("conv_id", "turn", "hash", "source").agg(F.count("*").alias("n"), F.count_if("sentence").alias("sentences"))
@@ -127,18 +129,51 @@ def rewrapped(rows: DataFrame, whole: DataFrame, left: DataFrame) -> DataFrame:
     return lines.where("best is not null and (sentences > 0 or 2 * found >= shingles)").select("conv_id", "turn", "hash", F.col("best.source").alias("source"))
 
 
-PARSED = "conv_id long, turn long, role string, text string, own array<long>, quotes array<struct<level:int,hash:bigint>>"
+PARSED = "turn long, role string, text string, own array<long>, quotes array<struct<level:int,hash:bigint>>"
 
 
 def parsed(rows: DataFrame) -> DataFrame:
+    """conv_id as it is, turn as an integer (null where it is none), role, the text without quotes, hashes of its own lines and of quoted ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [parse(t.as_py()) for t in batch.column(3)]
             quotes = pa.array([[{"level": a, "hash": b} for a, b in q] for _, _, q in got], pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.int64())), quotes], ["conv_id", "turn", "role", "text", "own", "quotes"])
 
-    plain = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text_or_empty().alias("text"))
-    return plain.mapInArrow(run, PARSED)
+    plain = rows.select("conv_id", F.col("turn").try_cast("long").alias("turn"), F.col("role").cast("string").alias("role"), text_or_empty().alias("text"))
+    return plain.mapInArrow(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, {PARSED}")
+
+
+def in_ranges(rows: DataFrame, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """rows, written in ranges of (conv_id, *order) with the number of their range, and the few (conv_id, _range) of conversations that lie in several ranges.
+
+    A conversation of any length is so dealt over tasks, and what follows in order can be computed in each range; there are at most two such
+    conversations for each range, so the second table is small whatever the input.
+    """
+    dealt = rows.repartitionByRange("conv_id", *order).sortWithinPartitions("conv_id", *order)
+    held = written(dealt.withColumn("_range", F.spark_partition_id()), name)
+    return held, held.groupBy("conv_id").agg(F.min("_range").alias("_low"), F.max("_range").alias("_high")).where("_low < _high").select("conv_id")
+
+
+def with_previous(turns: DataFrame) -> DataFrame:
+    """Distinct (conv_id, turn) with previous, the turn before in the conversation."""
+    held, long = in_ranges(turns, ["turn"], "turns")
+    here = held.withColumn("_before", F.lag("turn").over(Window.partitionBy("_range", "conv_id").orderBy("turn")))
+    last = held.join(F.broadcast(long), "conv_id", "left_semi").groupBy("conv_id", "_range").agg(F.max("turn").alias("_last"))
+    # The last turn of the nearest earlier range that has one, for the first turn of a range.
+    pairs = last.join(last.select("conv_id", F.col("_range").alias("_r"), F.col("_last").alias("_l")), "conv_id").where("_r < _range").groupBy("conv_id", "_range").agg(F.max("_l").alias("_earlier"))
+    return here.join(F.broadcast(pairs), ["conv_id", "_range"], "left").select("conv_id", "turn", F.coalesce("_before", "_earlier").alias("previous"))
+
+
+def with_position(rows: DataFrame, order: list[str], ties: list[str]) -> DataFrame:
+    """rows with position, from 1, in their conversation by order, then ties."""
+    held, long = in_ranges(rows, order, "placed")
+    here = held.withColumn("_at", F.row_number().over(Window.partitionBy("_range", "conv_id").orderBy(*order, *ties)))
+    count = held.join(F.broadcast(long), "conv_id", "left_semi").groupBy("conv_id", "_range").agg(F.count("*").alias("_n"))
+    before = count.join(count.select("conv_id", F.col("_range").alias("_r"), F.col("_n").alias("_m")), "conv_id").where("_r < _range").groupBy("conv_id", "_range").agg(F.sum("_m").alias("_off"))
+    got = here.join(F.broadcast(before), ["conv_id", "_range"], "left").withColumn("position", (F.col("_at") + F.coalesce("_off", F.lit(0))).cast("long"))
+    return got.drop("_range", "_at", "_off")
 
 
 def threaded(rows: DataFrame) -> DataFrame:
@@ -149,7 +184,8 @@ def threaded(rows: DataFrame) -> DataFrame:
     answers the message that most of its quoted lines belong to (ties: the outermost level, then the latest); without such lines
     it answers the turn before it, and the first turn answers nothing. position orders a conversation by root, depth and turn, so
     that every message comes after the one it answers. Rows that share a turn are variants of one message: they answer and are
-    answered together, and are ordered by role and text. Rows without conv_id or turn stay as they are, linked with nothing.
+    answered together, and are ordered by role and text. Rows without conv_id or turn (one that is no integer counts as none) stay as
+    they are, linked with nothing. conv_id may be of any type that can be ordered.
     """
     p = written(parsed(rows), "messages")
     whole = p.where("conv_id is not null and turn is not null")
@@ -165,8 +201,7 @@ def threaded(rows: DataFrame) -> DataFrame:
     counted = met.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"))
     votes = met.where("source is not null").groupBy("conv_id", "turn", "source").agg(F.count("*").alias("n"), F.min("level").alias("level"))
     chosen = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", -F.col("level"), "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("quoted"))
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    up = turns.withColumn("previous", before).join(chosen, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted", "previous").alias("reply_to"))
+    up = with_previous(turns).join(chosen, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("quoted", "previous").alias("reply_to"))
     up = written(up, "replies")
     # Pointer doubling: after k rounds a message knows the one 2 ** k answers up, or its root and how far that is. Only those that don't know it yet go on.
     state = written(up.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("to"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth"), F.col("reply_to").isNull().alias("done")), "depths")
@@ -176,8 +211,7 @@ def threaded(rows: DataFrame) -> DataFrame:
         state = written(state.where("done").unionByName(moved), "depths")
     state = state.drop("done")
     at = up.join(state.withColumnRenamed("to", "root"), ["conv_id", "turn"]).join(counted, ["conv_id", "turn"], "left")
-    order = Window.partitionBy("conv_id").orderBy("root", "depth", "turn", "role", "text")
-    out = whole.join(at, ["conv_id", "turn"]).withColumn("position", F.row_number().over(order).cast("long"))
+    out = with_position(whole.drop("own", "quotes").join(at, ["conv_id", "turn"]), ["root", "depth", "turn", "role"], ["text"])
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = out.select("conv_id", "turn", "role", "text", "reply_to", n("n_quotes"), n("n_linked"), F.col("depth").cast("long").alias("depth"), "root", "position")
     odd = p.where("conv_id is null or turn is null").select("conv_id", "turn", "role", "text", *(F.lit(None).cast("long").alias(c) for c in ("reply_to",)), *(F.lit(0).cast("long").alias(c) for c in ("n_quotes", "n_linked")), *(F.lit(None).cast("long").alias(c) for c in ("depth", "root", "position")))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from folioscope.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int"
@@ -88,3 +90,22 @@ def test_rewrapped_and_trimmed_quotes(spark):
     assert got[1, 6] == (0, 1, 1)
     assert got[1, 7] == (6, 1, 0)
     assert got[2, 1] == (0, 1, 0)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_conversations_over_many_ranges(spark, partitions):
+    rows = [("long", i, "u", f"message {i}") for i in range(0, 120, 3)] + [("b", 4, "u", "x"), ("b", "no turn", "u", "y"), (None, 3, "u", "z"), ("a", 1, "u", "first"), ("a", 2, "v", "> first\n\nyes"), ("a", 2, "u", "> first\n\nno"), ("a", 2, "u", "> first\n\nno")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        df = spark.createDataFrame([(c, str(t), r, x) for c, t, r, x in rows], "conv_id string, turn string, role string, text string")
+        got = [r.asDict() for r in chat.threaded(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows)
+    long = sorted((r["position"], r["turn"], r["reply_to"], r["depth"]) for r in got if r["conv_id"] == "long")
+    assert long == [(k + 1, 3 * k, 3 * k - 3 if k else None, k) for k in range(40)]
+    a = sorted((r["position"], r["turn"], r["role"], r["reply_to"], r["text"]) for r in got if r["conv_id"] == "a")
+    assert a == [(1, 1, "u", None, "first"), (2, 2, "u", 1, "\nno".strip()), (3, 2, "u", 1, "no"), (4, 2, "v", 1, "yes")]
+    assert {(r["conv_id"], r["position"]) for r in got if r["turn"] is None or r["conv_id"] is None} == {("b", None), (None, None)}
