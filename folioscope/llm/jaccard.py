@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import components, forget, table, text_or_empty, written
@@ -364,7 +364,9 @@ def treed_pairs(shared: DataFrame, classes: DataFrame, paired: int, block: int)
 def may_be_linked(classes: DataFrame, block: int, paired: int = PAIRED) -> DataFrame:
     """Edges (a, b) between classes that may be linked: every link is an edge, or follows from edges."""
     keys = classes.where("n > 0").select("cid", "n", F.explode("prefix").alias("key"))
-    shared = written(keys.withColumn("count", F.count("*").over(Window.partitionBy("key"))).where("count > 1"), "shared")
+    # Counted map-side first and joined back, so that a key of any size is no task's own.
+    counts = keys.groupBy("key").agg(F.count("*").alias("count")).where("count > 1")
+    shared = written(keys.join(counts, "key"), "shared")
     edges = written(counted_pairs(shared, paired).unionByName(treed_pairs(shared, classes, paired, block)).distinct(), "edges")
     forget(shared)
     return edges
