@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,14 +64,17 @@ def with_added(docs: DataFrame, column: str, new: list[StructField], compute: Ca
     return passed.mapInArrow(run, StructType(fields)).toDF(*names)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a written table that nothing reads any more, and let go of shuffle files that nothing refers to."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    jvm.System.gc()
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more, and let go of shuffle files, plans and compiled code that nothing refers to."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()
+        jvm.System.gc()
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -86,7 +90,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "cc")
-    last = None
+    last, rounds = None, []
     for _ in range(most):
         # Large star: every neighbour above the node hangs on the smallest of the node and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -97,9 +101,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # Small star: the node and its neighbours below it hang on the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        rounds.append(e)
         e = written(small, "cc")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
+            forget(*rounds)
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         last = state
     raise RuntimeError(f"no fixed point after {most} rounds")

@@ -452,6 +452,7 @@ def joined(docs: DataFrame, block: int = BLOCK, share: float = COMMON_SHARE, pai
     near = components(edges).withColumnsRenamed({"node": "cid", "component": "grp"})
     near = near.unionByName(near.select(F.col("grp").alias("cid"), "grp")).distinct()
     near = written(near.join(classes, "cid"), "near")
+    forget(edges)
     found = whole_sets(texts, near.select(F.col("low").alias("doc_id")))
     sized = near.join(near.groupBy("grp").agg(F.count("*").alias("count")), "grp")
     # Copies that got through with their class's id are dropped after the join, on its partitioning.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from folioscope.llm.common import table, text_or_empty, with_added, written
+from folioscope.llm.common import forget, table, text_or_empty, with_added, written
 
 ORDER, BITS = 5, 12
 MASK = (1 << BITS) - 1
@@ -150,7 +150,7 @@ def model_tables(counts: DataFrame) -> DataFrame:
         every = t if every is None else every.unionByName(t)
     every = written(every, "orders")
     of = {(r.o, r.c): r.n for r in every.where("c <= 4").groupBy("o", "c").agg(F.count("*").alias("n")).collect()}
-    out, lower = None, None
+    out, lower, orders = None, None, []
     for o in range(1, ORDER + 1):
         d = discounts([of.get((o, c), 0) for c in (1, 2, 3, 4)])
         t = every.where(F.col("o") == o).withColumn("context", F.shiftright("key", BITS)).withColumn("rest", F.col("key").bitwiseAND(F.lit((1 << BITS * (o - 1)) - 1)))
@@ -159,11 +159,14 @@ def model_tables(counts: DataFrame) -> DataFrame:
         t = t.withColumn("cut", cut).join(contexts, "context")
         t = t.withColumn("below", F.lit(UNIFORM)) if lower is None else t.join(lower.select(F.col("key").alias("rest"), F.col("p").alias("below")), "rest", "left").withColumn("below", F.coalesce("below", F.lit(UNIFORM)))
         lower = written(t.select(F.lit(o).alias("o"), "key", (F.greatest(F.lit(0.0), F.col("c") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p")), "p")
+        orders.append(lower)
         # The weight belongs to the context, an n-gram of the order below; order 1's is that of the empty context, kept as order 0.
         weights = contexts.select(F.lit(o - 1).alias("o"), F.col("context").alias("key"), F.col("gamma").alias("back"))
         part = lower.select("o", "key", "p", F.lit(None).cast("double").alias("back")).unionByName(weights.select("o", "key", F.lit(None).cast("double").alias("p"), "back"))
         out = part if out is None else out.unionByName(part)
-    return written(out.groupBy("o", "key").agg(F.max("p").alias("p"), F.max("back").alias("back")), "model")
+    model = written(out.groupBy("o", "key").agg(F.max("p").alias("p"), F.max("back").alias("back")), "model")
+    forget(counts, every, *orders)
+    return model
 
 
 @dataclass

@@ -225,8 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, prior: float =
     x = F.log1p(F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), F.lit(model.rate) * s - room)))
     got = measured.select(x.alias("x"), F.col("y").cast("double").alias("y")).orderBy("x", "y").toArrow()
     model.slope, model.base = logistic(got.column("x").to_numpy(), got.column("y").to_numpy())
-    for t in (some, counts, measured):
-        forget(t)
+    forget(some, counts, measured)
     return model
 
 
