@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_SCORE = 0.85
@@ -95,6 +96,28 @@ def search_column(needle, text, min_score: float = MIN_SCORE):
     return F.pandas_udf(run, PLACES, F.PandasUDFType.SCALAR)(F.col(needle) if isinstance(needle, str) else needle, F.col(text) if isinstance(text, str) else text)
 
 
+def contained(pages: DataFrame, needles: DataFrame, page: str, item: str) -> DataFrame:
+    """Pairs (page, item) of normalised pages (page, hay) that contain needles (item, needle); rows of pages that are equal count each.
+
+    A needle's inner words stand in a page as whole words, so pages and needles meet on the needle's rarest inner word and are then looked through.
+    Needles of less than three words have none: those meet every page.
+    """
+    words = lambda c: F.split(c, " ")
+    asked = needles.where("needle is not null").withColumn("_w", words(F.col("needle")))
+    inner = asked.where("size(_w) > 2").select(item, "needle", F.explode(F.array_distinct(F.expr("slice(_w, 2, size(_w) - 2)"))).alias("_key"))
+    rows = pages.where("hay is not null").withColumn("_h", F.xxhash64("hay"))
+    spoken = rows.select(page, "_h", F.explode(F.array_distinct(words(F.col("hay")))).alias("_key")).join(inner.select("_key").distinct(), "_key", "left_semi")
+    often = spoken.groupBy("_key").agg(F.count("*").alias("_n"))
+    rarest = inner.join(often, "_key").groupBy(item, "needle").agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"), F.count("*").alias("_found"))
+    # A needle with an inner word that no page has is in none.
+    whole = inner.groupBy(item, "needle").agg(F.count("*").alias("_all"))
+    rarest = rarest.join(whole, [item, "needle"]).where("_found = _all").select(item, "needle", "_key")
+    met = spoken.join(rarest, "_key").select(page, "_h", item, "needle").distinct()
+    long = rows.join(met, [page, "_h"]).where(F.contains("hay", "needle")).select(page, item)
+    short = asked.where("size(_w) < 3").select(item, "needle")
+    return long.unionByName(rows.join(short, F.contains("hay", "needle")).select(page, item))
+
+
 def word_span(text: str, start: int, end: int) -> tuple[int, int]:
     """The span widened to white space."""
     while start > 0 and not text[start - 1].isspace():
