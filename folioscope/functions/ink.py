@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-from folioscope.functions.raster import MM_PER_INCH, components, dilate, merge_boxes
+from folioscope.functions.raster import MM_PER_INCH, components, correlation, dilate, merge_boxes
 
 Rect = tuple[float, float, float, float]
 
@@ -185,6 +185,17 @@ def polarity(gray: np.ndarray, dpi: float, rect: Rect) -> str:
     return "light-on-dark" if len(glyphs) and glyphs.mean() > ground else "dark-on-light"
 
 
+def printed_under(gray: np.ndarray, dpi: float, rect: Rect, share: float = 0.2) -> bool:
+    """Whether a word's box (in points) is dark on the original already, by a share of its pixels: then nobody added it. gray is 0 to 1."""
+    t, b, lft, r = clipped(tuple(v * dpi / 72 for v in rect), gray.shape)
+    return b > t and r > lft and float((gray[t:b, lft:r] * 255 < 128).mean()) >= share
+
+
+def best_template(glyph: np.ndarray, templates: Iterable[np.ndarray]) -> float:
+    """The best correlation of a glyph with templates of its size; -1 without any."""
+    return max((float(correlation(glyph, t)) for t in templates), default=-1.0)
+
+
 # The ring of a segment test, from the top clockwise (x, y), and how many of it in a row make a corner.
 RING = [(0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3)]
 ARC = 9

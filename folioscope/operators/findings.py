@@ -45,6 +45,12 @@ def meeting(a: DataFrame, b: DataFrame, by: list[str], pa: str, pb: str, cell: f
     return met.where(near(pa, pb, slack) & first[0] & first[1]).drop("_cx", "_cy")
 
 
+def regions_of(pages: DataFrame, regions: DataFrame, doc: list[str]) -> DataFrame:
+    """Regions of each page (doc, page): those of that page, and those without a page, which every page of the document has."""
+    own = pages.join(regions.where("page is not null"), [*doc, "page"])
+    return own.unionByName(pages.join(regions.where("page is null").drop("page"), doc), allowMissingColumns=True)
+
+
 def explanations(differences: DataFrame, regions: DataFrame, by: list[str]) -> DataFrame:
     """(by, diff, region, region_id) of the differences that an expected region explains: the first region in order in which half of an added text lies, or which is identified and near another difference.
 

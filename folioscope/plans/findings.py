@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import ink as I
 from folioscope.functions import numbers as N
 from folioscope.functions import raster as R
+from folioscope.operators import calibrate as C
 from folioscope.operators import fields, findings, words
 from folioscope.operators import pages as P
 from folioscope.plans.policies import _BOX, _boxes, r6
@@ -216,3 +217,30 @@ def raster_regions(spark, d):
         return I.probe(masks, tuple(v * 72 / 150 for v in rect))["added"], I.region_report(masks, rect)["added"], ink["changes"], ink["pixels"], extent["width"], extent["height"], len(I.corners(small, 0.2)), I.polarity(original, 150, (10, 10, 150, 150))
 
     return per_page(rasters(spark, d), f, "page long, added_mm2 double, added_share double, changes int, pixels int, extent_width double, extent_height double, corners int, polarity string")
+
+
+_AUDIT = """pages AS (SELECT l_suppkey AS sample, 1 - l_discount AS text_score FROM lineitem), found AS (SELECT l_suppkey AS sample, l_returnflag = 'R' AS missing, l_quantity / 4 AS ink, l_partkey % 997 = 0 AS txt FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 12),
+worst AS (SELECT s_suppkey AS sample, s_suppkey % 2 = 0 AS genuine, (SELECT min(text_score) FROM pages p WHERE p.sample = s_suppkey) AS score, (SELECT max(ink) FROM found f WHERE f.sample = s_suppkey AND NOT txt AND NOT missing) AS change,
+  (SELECT max(ink) FROM found f WHERE f.sample = s_suppkey AND NOT txt AND missing) AS lost, coalesce((SELECT bool_or(txt) FROM found f WHERE f.sample = s_suppkey), false) AS always FROM supplier),
+grid AS (SELECT (row_number() OVER (ORDER BY t, c, m) - 1)::INTEGER AS point, t, c, m FROM (SELECT unnest([0.75, 0.8, 0.85, 0.9, 0.95])::DOUBLE AS t), (SELECT unnest([1, 2, 4, 8])::DOUBLE AS c), (SELECT unnest([4, 8, 16])::DOUBLE AS m)),
+tried AS (SELECT point, sample, genuine, coalesce(score < t, false) OR coalesce(change >= c, false) OR coalesce(lost >= m, false) OR always AS review FROM worst, grid WHERE c >= 2)"""
+
+
+def _corpus(spark, d):
+    li = read(spark, d, "lineitem")
+    found = li.where("l_linestatus = 'F' and l_quantity < 12").select(F.col("l_suppkey").alias("sample"), F.when(F.col("l_returnflag") == "R", "missing-ink").otherwise("unexpected-mark").alias("kind"), (F.col("l_quantity") / 4).alias("ink_mm2"), (F.col("l_partkey") % 997 == 0).alias("has_text"))
+    pages = C.corpus_pages(li.select(F.col("l_suppkey").alias("sample"), F.col("l_orderkey").alias("page"), (1 - F.col("l_discount")).alias("text_score")), found)
+    samples = read(spark, d, "supplier").select(F.col("s_suppkey").alias("sample"), (F.col("s_suppkey") % 2 == 0).alias("genuine"), F.when(F.col("s_suppkey") % 3 == 0, 1.5).alias("floor_change"), F.lit(None).cast("double").alias("floor_missing"))
+    points, _ = C.reachable(C.grid(spark), samples)
+    return pages, samples, points
+
+
+@query("calibrate_corpus", f"WITH {_AUDIT} SELECT point, count(*) FILTER (genuine) AS genuine, count(*) FILTER (NOT genuine) AS altered, count(*) FILTER (NOT genuine AND NOT review) AS false_accepts, count(*) FILTER (genuine AND review) AS false_reviews FROM tried GROUP BY point")
+def calibrate_corpus(spark, d):
+    """Suppliers as audited documents; findings were gathered from 1.5 mm2 on, so smaller limits can't be judged."""
+    return C.sweep(*_corpus(spark, d)).select("point", "genuine", "altered", "false_accepts", "false_reviews")
+
+
+@query("calibration_failures", f"WITH {_AUDIT} SELECT point, sample, CASE WHEN genuine THEN 'false-review' ELSE 'false-accept' END AS failure FROM tried WHERE genuine = review")
+def calibration_failures(spark, d):
+    return C.failing(*_corpus(spark, d))

@@ -152,3 +152,9 @@ def test_numbers(spark):
     dates = [(1970, 0, 1, 0), (70, 0, 1, 0), (2024, 1, 30, 1709251200000), (2000, 13, 1, 980985600000), (1969, -1, 31, -31622400000), (400000, 0, 1, None)]
     got = spark.createDataFrame([d[:3] for d in dates], "y int, m int, d int").select(numbers.date_utc(F.col("y"), F.col("m"), F.col("d"), F.lit(0), F.lit(0), F.lit(0)).alias("ms")).collect()
     assert [r.ms for r in got] == [d[3] for d in dates]
+
+
+def test_regions_without_a_page_are_on_every_page(spark):
+    pgs = spark.createDataFrame([("d", 1), ("d", 2), ("e", 1)], "doc string, page int")
+    regions = spark.createDataFrame([("d", 2, "own"), ("d", None, "all"), ("e", 9, "none")], "doc string, page int, id string")
+    assert {tuple(r) for r in findings.regions_of(pgs, regions, ["doc"]).collect()} == {("d", 2, "own"), ("d", 1, "all"), ("d", 2, "all")}

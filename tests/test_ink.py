@@ -1,11 +1,12 @@
 """Measures of ink, resizing, corners and linear systems against direct computations."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
 
-from folioscope.functions import ink, numbers
+from folioscope.functions import ink, numbers, png
 from folioscope.functions.raster import dilate
 
 
@@ -127,3 +128,37 @@ def test_linear_systems():
         assert np.allclose(s @ v, values.min() * v)
     assert numbers.solve(np.ones((2, 2)), np.ones(2)) is None
     assert numbers.solve(np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([2.0, 3.0])).tolist() == [3.0, 2.0]
+
+
+def test_printed_under_and_templates():
+    page = np.ones((100, 100))
+    page[10:12, 10:20] = 0.2
+    assert ink.printed_under(page, 72, (10, 10, 10, 10)) and not ink.printed_under(page, 72, (10, 11, 10, 10)) and not ink.printed_under(page, 72, (200, 0, 5, 5))
+    a = np.eye(5)
+    assert math.isclose(ink.best_template(a, [a[::-1], a]), 1.0) and ink.best_template(a, []) == -1.0
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (7, 5), (6, 4, 2), (5, 9, 3), (3, 8, 4)])
+def test_png(shape):
+    image = np.random.RandomState(1).randint(0, 256, shape).astype(np.uint8)
+    data = png.encode(image, 300)
+    assert (png.decode(data) == image).all()
+    m = png.metadata(data)
+    assert (m["height"], m["width"], m["channels"]) == (*shape[:2], shape[2] if len(shape) > 2 else 1) and abs(m["dpi"] - 300) < 0.02
+    # Every row filter, written by its definition.
+    n, rows = m["channels"], image.reshape(shape[0], -1).astype(int)
+    for kind in range(5):
+        lines = []
+        for y in range(shape[0]):
+            line = [kind]
+            for k in range(rows.shape[1]):
+                left, up = rows[y, k - n] if k >= n else 0, rows[y - 1, k] if y else 0
+                corner = rows[y - 1, k - n] if y and k >= n else 0
+                near = min((left, up, corner), key=lambda v: (abs(left + up - corner - v), 0))
+                line.append((rows[y, k] - [0, left, up, (left + up) // 2, near][kind]) % 256)
+            lines.append(bytes(int(v) for v in line))
+        made = data[:8] + data[8:33] + png._chunk(b"IDAT", zlib.compress(b"".join(lines))) + png._chunk(b"IEND", b"")
+        assert (png.decode(made) == image).all(), kind
+    for bad in (b"no", data[:-20], data[:40] + b"x" + data[41:]):
+        with pytest.raises(ValueError):
+            png.decode(bad)
