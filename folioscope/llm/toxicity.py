@@ -223,8 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, prior: float =
     model.frequency = (segments_of + 0.5) / max(1, space)
     room = F.log(F.greatest(F.lit(model.frequency) * F.col("n"), F.lit(1e-9)))
     x = F.log1p(F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), F.lit(model.rate) * s - room)))
-    got = measured.select(x.alias("x"), F.col("y").cast("double").alias("y")).orderBy("x", "y").toArrow()
-    model.slope, model.base = logistic(got.column("x").to_numpy(), got.column("y").to_numpy())
+    got = measured.select(x.alias("x"), F.col("y").cast("double").alias("y")).toArrow()
+    x, y = got.column("x").to_numpy(), got.column("y").to_numpy()
+    # In one order, so that sums are the same however rows were dealt.
+    order = np.lexsort((y, x))
+    model.slope, model.base = logistic(x[order], y[order])
     forget(some, counts, measured)
     return model
 
