@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.functions import ink as I
@@ -244,3 +245,36 @@ def calibrate_corpus(spark, d):
 @query("calibration_failures", f"WITH {_AUDIT} SELECT point, sample, CASE WHEN genuine THEN 'false-review' ELSE 'false-accept' END AS failure FROM tried WHERE genuine = review")
 def calibration_failures(spark, d):
     return C.failing(*_corpus(spark, d))
+
+
+@query(
+    "pdf_text_layer",
+    """SELECT conv_id, turn, greatest(1, ceil(len(l) / 50))::BIGINT AS pages, len(list_filter(l, lambda x: trim(x) <> ''))::BIGINT AS runs, length(regexp_replace(text, '\\s', '', 'g'))::BIGINT AS characters, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'vector' END AS kind
+  FROM (SELECT conv_id, turn, text, string_split(text, chr(10)) AS l FROM conversations)""",
+)
+def pdf_text_layer(spark, d):
+    """Each message as a document of its own, fifty lines to a page, written and read back: pages, runs and characters of its text layer."""
+    from folioscope.sources import pdfdoc
+
+    def write(batches):
+        for b in batches:
+            out = []
+            for c, t, x in zip(b.conv_id, b.turn, b.text, strict=True):
+                lines = (x or "").split("\n")
+                made = [{"width": 612, "height": 792, "texts": [(line, 36, 36 + 14 * i, 9, True) for i, line in enumerate(lines[k : k + 50])]} for k in range(0, len(lines), 50)]
+                out.append((f"{c}/{t}", pdfdoc.created(made)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    made = read(spark, d, "conversations").select("conv_id", "turn", "text").mapInPandas(write, "path string, content binary")
+    p = pdfdoc.read_pages(made).withColumn("at", F.split("path", "/"))
+    g = p.groupBy(F.col("at")[0].cast("long").alias("conv_id"), F.col("at")[1].cast("long").alias("turn"))
+    return g.agg(F.max("pages").cast("long").alias("pages"), F.sum(F.size("runs")).alias("runs"), F.sum("characters").alias("characters"), F.max("kind").alias("kind"))
+
+
+@query("pdf_sniff_window", "SELECT page_id, page_id % 1500 = 0 AS exact, page_id % 1500 <= 1019 AS early FROM pages")
+def pdf_sniff_window(spark, d):
+    """The raw pages behind a PDF header that starts further and further in: a session takes it at the first byte only, a merger within the first kilobyte."""
+    from folioscope.sources import pdf
+
+    c = F.encode(F.concat(F.repeat(F.lit("x"), (F.col("page_id") % 1500).cast("int")), F.lit("%PDF-1.7\n"), F.coalesce("html", F.lit(""))), "UTF-8")
+    return read(spark, d, "pages").select("page_id", pdf.is_pdf(c).alias("exact"), pdf.is_pdf_to_merge(c).alias("early"))
