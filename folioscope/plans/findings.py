@@ -10,6 +10,7 @@ from folioscope.functions import numbers as N
 from folioscope.functions import raster as R
 from folioscope.operators import calibrate as C
 from folioscope.operators import fields, findings, words
+from folioscope.operators import measures as M
 from folioscope.operators import pages as P
 from folioscope.plans.policies import _BOX, _boxes, r6
 from folioscope.plans.rasters import pages as rasters
@@ -278,3 +279,12 @@ def pdf_sniff_window(spark, d):
 
     c = F.encode(F.concat(F.repeat(F.lit("x"), (F.col("page_id") % 1500).cast("int")), F.lit("%PDF-1.7\n"), F.coalesce("html", F.lit(""))), "UTF-8")
     return read(spark, d, "pages").select("page_id", pdf.is_pdf(c).alias("exact"), pdf.is_pdf_to_merge(c).alias("early"))
+
+
+@query("pair_by_index", "SELECT coalesce(a.l_orderkey, b.o_orderkey) AS doc, CASE WHEN a.l_orderkey IS NULL THEN 'returned' WHEN b.o_orderkey IS NULL THEN 'issued' ELSE 'both' END AS side, coalesce(a.l_linenumber, b.page) AS page FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) a FULL JOIN (SELECT o_orderkey, unnest(range(1, 2 + o_custkey % 5)) AS page FROM orders) b ON a.l_orderkey = b.o_orderkey AND a.l_linenumber = b.page")
+def pair_by_index(spark, d):
+    """Line items as issued pages, one to five returned pages of each order: pairs by number, and what is left on either side."""
+    issued = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("page"))
+    returned = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("o_custkey") % 5)).alias("page"))
+    both, left = M.paired(issued, returned, ["doc"])
+    return both.select("doc", F.lit("both").alias("side"), F.col("issued").alias("page")).unionByName(left.select("doc", "side", "page"))

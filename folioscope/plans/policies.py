@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import boxes as B
 from folioscope.operators import calibrate as C
+from folioscope.operators import measures as M
 from folioscope.operators import policies as P
 from folioscope.plans.registry import query
 from folioscope.plans.texts import read
@@ -253,11 +254,8 @@ def gaps_islands_runs(spark, d):
 
 @query("cumulative_trims", "WITH h AS (SELECT floor(l_extendedprice / 1000)::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS total FROM h) SELECT min(bin) FILTER (upto > total * 0.004) AS first, min(bin) FILTER (upto >= total * 0.996) AS last FROM c")
 def cumulative_trims(spark, d):
-    from pyspark.sql import Window
-
-    h = read(spark, d, "lineitem").groupBy(F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    c = h.withColumn("upto", F.sum("n").over(Window.orderBy("bin"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    return c.agg(F.min(F.when(F.col("upto") > F.col("total") * 0.004, F.col("bin"))).alias("first"), F.min(F.when(F.col("upto") >= F.col("total") * 0.996, F.col("bin"))).alias("last"))
+    li = read(spark, d, "lineitem").withColumn("img", F.lit(0))
+    return M.trims(M.histogram(li, ["img"], F.floor(F.col("l_extendedprice") / 1000)), ["img"]).drop("img")
 
 
 _OTSU = """WITH h AS (SELECT l_returnflag AS img, least(255, floor(l_quantity * 5 + 0.5))::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -267,23 +265,15 @@ v AS (SELECT img, bin, n0::DOUBLE * (n1 - n0) * (s0::DOUBLE / n0 - (s1 - s0)::DO
 
 @query("otsu_threshold", _OTSU + " SELECT img, bin FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY round(var, 3) DESC, bin) AS k FROM v) WHERE k = 1")
 def otsu_threshold(spark, d):
-    from pyspark.sql import Window
-
-    h = read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("img"), F.least(F.lit(255), F.floor(F.col("l_quantity") * 5 + 0.5)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    w, a = Window.partitionBy("img").orderBy("bin"), Window.partitionBy("img")
-    c = h.select("img", "bin", F.sum("n").over(w).alias("n0"), F.sum(F.col("n") * F.col("bin")).over(w).alias("s0"), F.sum("n").over(a).alias("n1"), F.sum(F.col("n") * F.col("bin")).over(a).alias("s1")).where("n1 > n0")
-    var = F.col("n0").cast("double") * (F.col("n1") - F.col("n0")) * F.pow(F.col("s0") / F.col("n0") - (F.col("s1") - F.col("s0")) / (F.col("n1") - F.col("n0")), 2)
-    return c.groupBy("img").agg(F.min(F.struct((-F.round(var, 3)).alias("v"), "bin")).alias("best")).select("img", "best.bin")
+    li = read(spark, d, "lineitem").withColumnRenamed("l_returnflag", "img")
+    return M.otsu(M.histogram(li, ["img"], F.least(F.lit(255), F.floor(F.col("l_quantity") * 5 + 0.5))), ["img"])
 
 
 @query("contrast_points", "WITH h AS (SELECT l_suppkey AS img, least(255, floor(l_extendedprice / 100000 * 255))::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (SELECT img, bin, sum(n) OVER (PARTITION BY img ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY img) AS total FROM h) SELECT img, round(greatest(0.0, least(0.4, min(bin) FILTER (upto >= total * 0.01) / 170.0)), 6) AS black, round(greatest(0.7, least(1.1, min(bin) FILTER (upto >= total * 0.99) / 170.0)), 6) AS white FROM c GROUP BY img")
 def contrast_points(spark, d):
-    from pyspark.sql import Window
-
-    h = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("img"), F.least(F.lit(255), F.floor(F.col("l_extendedprice") / 100000 * 255)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    c = h.withColumn("upto", F.sum("n").over(Window.partitionBy("img").orderBy("bin"))).withColumn("total", F.sum("n").over(Window.partitionBy("img")))
-    at = lambda s: F.min(F.when(F.col("upto") >= F.col("total") * s, F.col("bin"))) / 170.0
-    return c.groupBy("img").agg(r6(F.greatest(F.lit(0.0), F.least(F.lit(0.4), at(0.01)))).alias("black"), r6(F.greatest(F.lit(0.7), F.least(F.lit(1.1), at(0.99)))).alias("white"))
+    li = read(spark, d, "lineitem").withColumnRenamed("l_suppkey", "img")
+    got = M.contrast_points(M.histogram(li, ["img"], F.least(F.lit(255), F.floor(F.col("l_extendedprice") / 100000 * 255))), ["img"], 1 / 170.0)
+    return got.select("img", r6(F.col("black")).alias("black"), r6(F.col("white")).alias("white"))
 
 
 @query("correlation", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS correlation, round(count(*) FILTER (l_quantity > 25 AND l_tax > 0.04)::DOUBLE / count(*) FILTER (l_quantity > 25 OR l_tax > 0.04), 6) AS iou FROM lineitem GROUP BY 1")

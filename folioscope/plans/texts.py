@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import search as S
 from folioscope.functions import text as T
+from folioscope.operators import measures as M
 from folioscope.plans.registry import query
 from folioscope.workers import ship
 
@@ -143,8 +144,8 @@ def scores(spark, d):
 @query("document_score_weighted", _SCORES + " SELECT conv_id, round(CASE WHEN sum(chars) = 0 THEN avg(score) ELSE sum(score * chars) / sum(chars) END, 6) AS score, count(*) AS pages FROM scores GROUP BY conv_id")
 def document_score_weighted(spark, d):
     """Mean of page scores by characters, the plain mean of pages without any."""
-    s = scores(spark, d).groupBy("conv_id").agg(F.sum("chars").alias("c"), F.avg("score").alias("m"), F.sum(F.col("score") * F.col("chars")).alias("w"), F.count("*").alias("pages"))
-    return s.select("conv_id", r6(F.when(F.col("c") == 0, F.col("m")).otherwise(F.col("w") / F.col("c"))).alias("score"), "pages")
+    s = M.document_score(scores(spark, d).withColumnRenamed("chars", "characters"), ["conv_id"])
+    return s.select("conv_id", r6(F.col("score")).alias("score"), "pages")
 
 
 @query("document_rollup", _SCORES + " SELECT conv_id, turn, count(*) AS pages, sum(chars)::BIGINT AS characters FROM scores GROUP BY ROLLUP (conv_id, turn)")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import policies
+from folioscope.operators import measures, policies
 
 
 def fingerprint(**options) -> str:
@@ -63,7 +63,8 @@ class Comparison:
 
     def audit(self) -> DataFrame:
         """A row per document: score by characters (1 for an empty one), pages to review, verdict."""
-        score, chars = F.col("metrics.levenshtein_similarity"), F.col("metrics.characters")
-        p = self.text().withColumn("verdict", policies.text_verdict(F.lit(0), score, self.min_text_score))
-        g = p.groupBy("doc_id").agg(F.sum(chars).alias("n"), F.sum(score * chars).alias("w"), F.count("*").alias("pages"), F.count_if(F.col("verdict") == "review").alias("review_pages"))
-        return g.select("doc_id", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.col("w") / F.col("n")).alias("score"), "pages", "review_pages", F.when(F.col("review_pages") > 0, "review").otherwise("pass").alias("verdict"))
+        p = self.text().select("doc_id", F.col("metrics.levenshtein_similarity").alias("score"), F.col("metrics.characters").alias("characters"))
+        p = p.withColumn("verdict", policies.text_verdict(F.lit(0), F.col("score"), self.min_text_score))
+        review = p.groupBy("doc_id").agg(F.count_if(F.col("verdict") == "review").alias("review_pages"))
+        g = measures.document_score(p, ["doc_id"], 1.0).join(review, "doc_id")
+        return g.select("doc_id", "score", "pages", "review_pages", F.when(F.col("review_pages") > 0, "review").otherwise("pass").alias("verdict"))

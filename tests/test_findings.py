@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers
-from folioscope.operators import fields, findings, pages, words
+from folioscope.operators import fields, findings, measures, pages, words
 
 SLACK = findings.SLACK
 
@@ -158,3 +158,13 @@ def test_regions_without_a_page_are_on_every_page(spark):
     pgs = spark.createDataFrame([("d", 1), ("d", 2), ("e", 1)], "doc string, page int")
     regions = spark.createDataFrame([("d", 2, "own"), ("d", None, "all"), ("e", 9, "none")], "doc string, page int, id string")
     assert {tuple(r) for r in findings.regions_of(pgs, regions, ["doc"]).collect()} == {("d", 2, "own"), ("d", 1, "all"), ("d", 2, "all")}
+
+
+def test_explicit_pairs(spark):
+    a = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3)], "doc string, page int")
+    b = spark.createDataFrame([("d", 1), ("d", 2)], "doc string, page int")
+    both, left = measures.paired(a, b, ["doc"])
+    assert {tuple(r) for r in both.collect()} == {("d", 1, 1), ("d", 2, 2)} and [tuple(r) for r in left.collect()] == [("d", "issued", 3, None)]
+    both, left = measures.paired(a, b, ["doc"], spark.createDataFrame([("d", 3, 1), ("d", 3, 2), ("d", 7, 2)], "doc string, issued int, returned int"))
+    assert [tuple(r) for r in both.collect()] == [("d", 3, 1)]
+    assert {tuple(r) for r in left.collect()} == {("d", "issued", 1, None), ("d", "issued", 2, None), ("d", "returned", 2, None), ("d", "pair", 3, "paired twice"), ("d", "pair", 7, "no such issued page")}
