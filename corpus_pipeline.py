@@ -12,18 +12,25 @@ from folioscope.llm import jaccard, packing, quality, toxicity
 from folioscope.llm.common import ship, table, written
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """docs with names that clash with nothing: doc_id, text and lang stay, all others are numbered, so that no operator takes them for its own."""
+    return docs.toDF(*(n if n in ("doc_id", "text", "lang") else f"c{k}" for k, n in enumerate(docs.columns)))
+
+
 def read_well(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's limit. Null and empty texts go."""
     ship(spark)
-    trusted = quality.trusted_of(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality.judged(docs, trusted).where("not rejected").select(*docs.columns)
+    own = plain(docs)
+    trusted = quality.trusted_of(own.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.judged(own, trusted).where("not rejected").select(*own.columns).toDF(*docs.columns)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted to be toxic by a model of the labelled ones among them."""
     ship(spark)
-    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    own = plain(docs)
+    model = toxicity.fit(own.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.scored(own, model).where("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +40,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     can't be told apart and stay. Columns that have no order (maps) don't decide.
     """
     ship(spark)
-    kept = jaccard.joined(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    found = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    order = F.struct("text", *(f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()))
-    first = found.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return first.unionByName(docs.where("doc_id is null"))
+    own = plain(docs)
+    kept = jaccard.joined(own.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    found = own.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    order = F.struct("text", *(f.name for f in own.schema.fields if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()))
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct(*own.columns), order).alias("row")).select("row.*")
+    return first.unionByName(own.where("doc_id is null")).toDF(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
