@@ -1,11 +1,13 @@
 """Raster queries: whole pages, one for each row, and registration from the images."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql.datasource import InputPartition
 
 from folioscope.functions import raster as R
-from folioscope.plans import registry
+from folioscope.plans import rasters, registry
 from folioscope.sources.synthetic import _Reader, form, scanned
 
 
@@ -44,3 +46,50 @@ def test_registration_doesnt_know_the_truth():
     assert R.corner_error(np.eye(3), m, page.shape) > 5
     assert R.corner_error(R.estimate_matrix(page, scan), m, page.shape) < 2
     assert R.corner_error(m, m, page.shape) == 0
+
+def slow(f, *args):
+    """CPU seconds of f, the least of five, in transforms of a page by numpy."""
+    image = np.random.RandomState(1).rand(1024, 512)
+
+    def least(g):
+        took = []
+        for _ in range(5):
+            t = time.thread_time()
+            g()
+            took.append(time.thread_time() - t)
+        return min(took)
+
+    return least(lambda: f(*args)) / least(lambda: np.fft.fft2(image))
+
+
+@pytest.fixture(scope="module")
+def page():
+    (row,) = _Reader({"pages": "1", "partitions": "1"}).read(InputPartition(0))
+    original, scan = ((np.frombuffer(b, np.uint8).reshape(row[2], row[1]) / 255).astype(np.float32) for b in row[3:5])
+    return original, scan, np.array(row[5]).reshape(3, 3)
+
+
+def test_a_stroke_is_found_in_the_time_of_few_transforms(page):
+    assert slow(rasters.stroke_found, *page) < 16
+
+
+def test_warp_is_bilinear():
+    r = np.random.RandomState(5)
+    image = r.rand(9, 7).astype(np.float32)
+    for m in (np.array([[0.9, 0.2, -2.5], [-0.2, 1.1, 1.5], [0, 0, 1]]), np.array([[0.9, 0.2, -2.5], [-0.2, 1.1, 1.5], [0.01, 0.02, 1]]), np.array([[1, 0, 1e9], [0, 1, 3.0], [0, 0, 1]])):
+        got = R.warp(image, m, (40, 11), 0.7)
+        for i, j in np.ndindex(40, 11):
+            q = m @ [j + 0.5, i + 0.5, 1]
+            x, y = q[:2] / q[2] - 0.5
+            at = lambda v, u: float(image[v, u]) if 0 <= v < 9 and 0 <= u < 7 else 0.7
+            a, b = int(np.floor(x)), int(np.floor(y))
+            want = sum(at(b + k, a + h) * abs(1 - h - (x - a)) * abs(1 - k - (y - b)) for k in (0, 1) for h in (0, 1))
+            assert got[i, j] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("shape, radius", [((7, 9), 1), ((13, 5), 3), ((1, 3), 2), ((6, 8), 20)])
+def test_windows_are_clipped(shape, radius):
+    image = np.random.RandomState(6).rand(*shape)
+    windows = {(y, x): image[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1] for y, x in np.ndindex(*shape)}
+    blurred, grown = R.box_blur(image, radius), R.dilate(image > 0.8, radius)
+    assert all(blurred[k] == pytest.approx(v.mean()) and grown[k] == (v > 0.8).any() for k, v in windows.items())
