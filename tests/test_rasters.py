@@ -93,3 +93,10 @@ def test_windows_are_clipped(shape, radius):
     windows = {(y, x): image[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1] for y, x in np.ndindex(*shape)}
     blurred, grown = R.box_blur(image, radius), R.dilate(image > 0.8, radius)
     assert all(blurred[k] == pytest.approx(v.mean()) and grown[k] == (v > 0.8).any() for k, v in windows.items())
+
+
+def test_registration_takes_the_time_of_few_transforms(page):
+    original, scan, _ = page
+    assert slow(R.estimate_matrix, original, scan) < 12
+    lean, ink = R.estimate_skew(R.binarize(R.ink_map(scan))), R.ink_map(original)
+    assert (R.estimate_matrix(original, scan, lean, ink) == R.estimate_matrix(original, scan)).all()
