@@ -89,6 +89,10 @@ def test_resize():
     assert small.shape == (6, 8) and scale == 0.5 and ink.downscale(a, 100)[1] == 1.0
 
 
+def test_weights_of_a_size_are_made_once():
+    assert ink._weights(550, 200) is ink._weights(550, 200)
+
+
 def test_polarity():
     page = np.full((40, 40), 0.1)
     page[10:14, 10:20] = 0.9
