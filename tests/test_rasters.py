@@ -100,3 +100,7 @@ def test_registration_takes_the_time_of_few_transforms(page):
     assert slow(R.estimate_matrix, original, scan) < 12
     lean, ink = R.estimate_skew(R.binarize(R.ink_map(scan))), R.ink_map(original)
     assert (R.estimate_matrix(original, scan, lean, ink) == R.estimate_matrix(original, scan)).all()
+
+
+def test_despeckling_takes_less_than_a_transform(page):
+    assert slow(R.despeckle, page[1]) < 1
