@@ -104,3 +104,27 @@ def test_registration_takes_the_time_of_few_transforms(page):
 
 def test_despeckling_takes_less_than_a_transform(page):
     assert slow(R.despeckle, page[1]) < 1
+
+
+def test_pages_and_their_pieces_take_the_time_of_a_transform(page):
+    mask = R.binarize(R.ink_map(page[1]))
+    assert slow(R.components, mask) < 0.4
+    assert slow(lambda: list(_Reader({"pages": "1", "partitions": "1"}).read(InputPartition(0)))) < 2
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_components_against_flooding(diagonal):
+    for seed, share in ((1, 0.4), (2, 0.6), (3, 0.0), (4, 1.0)):
+        mask, want = np.random.RandomState(seed).rand(17, 23) < share, []
+        left = {(y, x) for y, x in zip(*map(list, np.nonzero(mask)), strict=True)}
+        for k in sorted(left):
+            if k in left:
+                left.remove(k)
+                seen = [k]
+                for y, x in seen:
+                    near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if diagonal or not (a and b)} & left
+                    left -= near
+                    seen += near
+                ys, xs = zip(*seen, strict=True)
+                want.append({"x": min(xs), "y": min(ys), "w": max(xs) - min(xs) + 1, "h": max(ys) - min(ys) + 1, "pixels": len(seen)})
+        assert R.components(mask, diagonal) == want
