@@ -18,6 +18,8 @@ END_ID = 2
 #: Documents that a group holds on average. More leave less padding; a group is one task's work.
 GROUP_DOCS = 4096
 VOCABULARY = "word_bpe_49k.json"
+#: Characters that a worker encodes at a time, and bytes of chunks that it remembers: half of what pieces.py would take, as a stage of the pipeline shares its executors' memory with others.
+PORTION, REMEMBERED = 1 << 22, 20 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -68,11 +70,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("folded", path), lambda: FoldedWordEncoder(path))
+        encoder = kept(("folded", path), lambda: FoldedWordEncoder(path, REMEMBERED))
         end = np.array([end_id], "<u4")
         for batch in batches:
             tokens, crcs = [], []
-            for x in encoded_batch(encoder, batch.column(1)):
+            for x in encoded_batch(encoder, batch.column(1), PORTION):
                 got = np.concatenate([x, end], dtype="<u4")
                 tokens.append(len(got))
                 crcs.append([zlib.crc32(got[k : k + capacity]) for k in range(0, len(got), capacity)])

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 #: Characters of texts that are taken at a time (a longer text is taken whole), and bytes that remembered chunks may take.
 PORTION, REMEMBERED = 1 << 23, 40 << 20
-#: Words that the library gets at a time.
-TOGETHER = 128
+#: Words that the library gets at a time, and new chunks that are Python objects at a time.
+TOGETHER, OBJECTS = 128, 1 << 16
 #: White space other than line feeds.
 SPACES = r"[\t\x0b-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -49,12 +49,16 @@ class Remembered:
         new = at < 0
         if new.any():
             more = words.filter(pa.array(new))
-            got = self.encode(more.to_pylist())
-            length = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
-            at[new] = len(self.words) + np.arange(len(got))
+            lengths, pools = [], []
+            for k in range(0, len(more), OBJECTS):
+                got = self.encode(more.slice(k, OBJECTS).to_pylist())
+                lengths.append(np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize)
+                pools.append(np.frombuffer(b"".join(got), self.kind))
+            length = np.concatenate(lengths)
+            at[new] = len(self.words) + np.arange(len(length))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
             self.length = np.concatenate([self.length, length])
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(got), self.kind)])
+            self.pool = np.concatenate([self.pool, *pools])
             self.words = pa.concat_arrays([self.words, more])
         return at
 
@@ -230,8 +234,8 @@ def portions(texts: pa.Array, characters: int = PORTION) -> Iterator[tuple[int,
         at = to
 
 
-def encoded_batch(encoder, texts: pa.Array) -> Iterator[np.ndarray]:
+def encoded_batch(encoder, texts: pa.Array, characters: int = PORTION) -> Iterator[np.ndarray]:
     """The ids of each text, in order, from texts of any number and length; null texts are empty."""
     texts = pc.fill_null(pa.array(texts.to_pylist(), pa.string()) if isinstance(texts, pa.ChunkedArray) else texts.cast(pa.string()), "")
-    for _, some in portions(texts):
+    for _, some in portions(texts, characters):
         yield from encoder.encode(some)

@@ -128,3 +128,23 @@ def test_wavelet_shards_round_trip(spark):
 
 def test_wavelet_of_nothing(spark):
     assert wavelet.documents_of(wavelet.written(wavelet.shards(frame(spark, []), P.path(wavelet.VOCABULARY)), "w")).count() == 0
+
+
+def test_new_chunks_are_objects_a_slice_at_a_time(monkeypatch):
+    monkeypatch.setattr(pieces, "OBJECTS", 4)
+    asked = []
+
+    def encode(words):
+        asked.append(len(words))
+        return [np.arange(len(w), dtype="<u2").tobytes() for w in words]
+
+    r = pieces.Remembered(encode, "<u2")
+    words = pa.array(["a" * k for k in range(1, 11)])
+    place = r.places(words)
+    assert asked == [4, 4, 2]
+    assert r.length[place].tolist() == list(range(1, 11)) and pieces.spread(r.pool, r.start[place], r.length[place]).tolist() == [i for k in range(1, 11) for i in range(k)]
+    assert (r.places(words) == place).all() and asked == [4, 4, 2]
+
+
+def test_packing_takes_half_of_what_the_encoders_may_take():
+    assert packing.PORTION * 2 <= pieces.PORTION and packing.REMEMBERED * 2 <= pieces.REMEMBERED
