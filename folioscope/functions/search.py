@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MIN_SCORE = 0.85
 PLACES = "array<struct<start:int,end:int,distance:int,score:double>>"
@@ -96,26 +98,66 @@ def search_column(needle, text, min_score: float = MIN_SCORE):
     return F.pandas_udf(run, PLACES, F.PandasUDFType.SCALAR)(F.col(needle) if isinstance(needle, str) else needle, F.col(text) if isinstance(text, str) else text)
 
 
+#: Bytes of needles up to which every worker gets all of them, and pages are read and looked through once.
+HELD = 4 << 20
+
+
 def contained(pages: DataFrame, needles: DataFrame, page: str, item: str) -> DataFrame:
-    """Pairs (page, item) of normalised pages (page, hay) that contain needles (item, needle); rows of pages that are equal count each.
+    """Pairs (page, item) of normalised pages (page, hay) that contain needles (item, needle); equal rows of either side count each.
 
-    A needle's inner words stand in a page as whole words, so pages and needles meet on the needle's rarest inner word and are then looked through.
-    Needles of less than three words have none: those meet every page.
+    A needle's inner words stand in a page as whole words, so a page is looked through only for needles of which it has such a word; needles of
+    less than three words have none and are looked for in every page. Needles beyond HELD bytes are joined on words; both ways give the same pairs.
     """
+    asked, rows = needles.where("needle is not null").select(item, "needle"), pages.select(page, "hay")
+    size = asked.agg(F.sum(F.octet_length("needle").cast("long"))).first()[0] or 0
+    return _looked_through(rows, asked, page, item) if size <= HELD else _met(rows, asked, page, item)
+
+
+def _looked_through(rows: DataFrame, asked: DataFrame, page: str, item: str) -> DataFrame:
+    """By needles that every worker has, under their longest inner word."""
+    held = asked.toDF("item", "needle").toArrow().combine_chunks()
+    found, items = held.column("needle").to_pylist(), held.column("item").combine_chunks()
+    schema = StructType([rows.schema[page], asked.schema[item]])
+
+    def run(batches):
+        by_word, short = {}, []
+        for k, needle in enumerate(found):
+            inner = needle.split(" ")[1:-1]
+            if inner:
+                by_word.setdefault(max(inner, key=len), []).append(k)
+            else:
+                short.append(k)
+        for b in batches:
+            at, which = [], []
+            for i, hay in enumerate(b.column(1)):
+                text = hay.as_py()
+                if text is None:  # not a filter before, which would have every text normalised twice
+                    continue
+                here = [k for w in by_word.keys() & set(text.split(" ")) for k in by_word[w] if found[k] in text]
+                here += [k for k in short if found[k] in text]
+                at += [i] * len(here)
+                which += here
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), items.take(pa.array(which, pa.int64()))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _met(rows: DataFrame, asked: DataFrame, page: str, item: str) -> DataFrame:
+    """By joins of pages and needles on the needle's rarest inner word."""
     words = lambda c: F.split(c, " ")
-    asked = needles.where("needle is not null").withColumn("_w", words(F.col("needle")))
-    inner = asked.where("size(_w) > 2").select(item, "needle", F.explode(F.array_distinct(F.expr("slice(_w, 2, size(_w) - 2)"))).alias("_key"))
-    rows = pages.where("hay is not null").withColumn("_h", F.xxhash64("hay"))
-    spoken = rows.select(page, "_h", F.explode(F.array_distinct(words(F.col("hay")))).alias("_key")).join(inner.select("_key").distinct(), "_key", "left_semi")
+    needles = asked.select("needle").distinct().withColumn("_w", words(F.col("needle")))
+    inner = needles.where("size(_w) > 2").select("needle", F.explode(F.array_distinct(F.expr("slice(_w, 2, size(_w) - 2)"))).alias("_key"))
+    rows = rows.where("hay is not null").withColumn("_h", F.xxhash64("hay"))
+    spoken = rows.select(F.col(page).alias("_p"), "_h", F.explode(F.array_distinct(words(F.col("hay")))).alias("_key")).join(inner.select("_key").distinct(), "_key", "left_semi")
     often = spoken.groupBy("_key").agg(F.count("*").alias("_n"))
-    rarest = inner.join(often, "_key").groupBy(item, "needle").agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"), F.count("*").alias("_found"))
+    rarest = inner.join(often, "_key").groupBy("needle").agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"), F.count("*").alias("_found"))
     # A needle with an inner word that no page has is in none.
-    whole = inner.groupBy(item, "needle").agg(F.count("*").alias("_all"))
-    rarest = rarest.join(whole, [item, "needle"]).where("_found = _all").select(item, "needle", "_key")
-    met = spoken.join(rarest, "_key").select(page, "_h", item, "needle").distinct()
-    long = rows.join(met, [page, "_h"]).where(F.contains("hay", "needle")).select(page, item)
-    short = asked.where("size(_w) < 3").select(item, "needle")
-    return long.unionByName(rows.join(short, F.contains("hay", "needle")).select(page, item))
+    whole = inner.groupBy("needle").agg(F.count("*").alias("_all"))
+    rarest = rarest.join(whole, "needle").where("_found = _all").select("needle", "_key")
+    met = spoken.join(rarest, "_key").select("_p", F.col("_h").alias("_g"), "needle").distinct()
+    long = rows.join(met, F.col(page).eqNullSafe(F.col("_p")) & (F.col("_h") == F.col("_g"))).where(F.contains("hay", "needle")).select(page, "needle")
+    short = rows.join(needles.where("size(_w) < 3").select("needle"), F.contains("hay", "needle")).select(page, "needle")
+    return long.unionByName(short).join(asked, "needle").select(page, item)
 
 
 def word_span(text: str, start: int, end: int) -> tuple[int, int]:

@@ -47,6 +47,17 @@ _PLAIN, _FOLDS = str.maketrans(TYPOGRAPHY), str.maketrans(diacritics())
 _LINE_END = re.compile(r"(?<=[^\W\d_])[-\u00ad\u2010\u2011][ \t]*\r?\n[ \t]*(?=[^\W\d_A-Z])")
 
 
+def _about(letters) -> str:
+    """A short class of characters that has all letters, those of Latin-1 exactly and others by ranges that may have more: Java tries every part of a class in turn."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if spans and code > 0xFF and spans[-1][0] > 0xFF and code - spans[-1][1] <= 64:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
 def _replaced(c: Column, table: dict[str, str]) -> Column:
     """Single characters in one translate; the rest one by one, in order."""
     single = {k: v for k, v in table.items() if len(k) == 1 and len(v) <= 1}
@@ -61,7 +72,7 @@ def _replaced(c: Column, table: dict[str, str]) -> Column:
         out = c
         for k, v in long.items():
             out = F.replace(out, F.lit(k), F.lit(v))
-        c = F.when(c.rlike("[" + "".join(f"\\x{{{ord(k):x}}}" for k in long) + "]"), out).otherwise(c)
+        c = F.when(c.rlike(_about(long)), out).otherwise(c)
     return F.translate(c, "".join(order), "".join(single[k] for k in order)) if order else c
 
 
@@ -117,7 +128,7 @@ def collapse(c: Column) -> Column:
 
 def drop_noise(c: Column) -> Column:
     """Tokens without a letter, a number or a currency sign go."""
-    return F.array_join(F.filter(F.split(collapse(c), " "), lambda x: x.rlike(r"[\p{L}\p{N}\p{Sc}]")), " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(collapse(c), r"(?<![^ ])[^ \p{L}\p{N}\p{Sc}]++(?![^ ])", ""), " {2,}", " "))
 
 
 def normalise(c: Column, compatibility: bool = True, punctuation: bool = True, confusables: bool = False, typography: bool = True, dehyphenation: bool = True, folding: bool = True, case: bool = True, noise: bool = True) -> Column:
@@ -130,7 +141,8 @@ def normalise(c: Column, compatibility: bool = True, punctuation: bool = True, c
     c = drop_noise(c) if noise else c
     if not punctuation:
         c = F.regexp_replace(c, r"\p{P}+", " ")
-    return collapse(fold_confusables(c) if confusables else c)
+    # Without noise a text is collapsed already.
+    return collapse(fold_confusables(c) if confusables else c) if confusables or not punctuation or not noise else c
 
 
 def normalised_of(text: str) -> str:

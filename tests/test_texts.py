@@ -1,12 +1,14 @@
 """Text queries on rows that the driver's tables don't have."""
 
+import random
 import re
 import unicodedata
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.functions import text
+from folioscope.functions import search, text
 from folioscope.plans import registry
 
 
@@ -87,3 +89,38 @@ def test_letters_that_fold():
     assert {k: table.get(k) for k in want} == want
     # Letters of their own stay.
     assert not {*"ÞþÐðŊŋĸĲĳƏəƷȷɆƫⱱⱴȡ"} & set(table)
+
+
+def test_noise_is_what_has_no_letter_number_or_currency(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice(["a", "É", "7", "²", "$", "€", "-", ".", "|", "~", "\x1c", "\u0301", "🙂", "𝒳", "日", " ", " ", "\t", "\n"]) for _ in range(r.randrange(40))) for _ in range(400)]
+    noise = lambda t: " ".join(w for w in re.sub(r"[\t\n ]+", " ", t).split(" ") if any(unicodedata.category(x)[0] in "LN" or unicodedata.category(x) == "Sc" for x in w))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.drop_noise(F.col("t")).alias("n"), text.normalise(F.col("t"), folding=False, compatibility=False, case=False).alias("all")).collect()
+    assert all(g.n == noise(g.t) == g["all"] for g in got)
+
+
+def test_a_guard_is_short_and_has_all_letters():
+    long = [k for k, v in text.diacritics().items() if len(v) > 1]
+    guard = text._about(long)
+    assert len(guard) < 150 and all(re.match(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), guard), k) for k in long)
+    assert not re.search(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), guard), "aéñüÄß")
+
+
+def test_content_is_found_in_one_pass_or_by_joins(spark, put, monkeypatch):
+    r = random.Random(9)
+    made = lambda n: " ".join(r.choice(["a", "b", "cc", "d1", "ee"]) for _ in range(n))
+    pages = [(k, made(r.randrange(30))) for k in range(60)] + [(5, "a b cc d1"), (None, "a b cc d1"), (70, None), (71, "")]
+    asked = [(k, made(r.randrange(6))) for k in range(40)] + [(3, "a b cc d1"), (3, "a b cc d1"), (None, "b cc d1"), (41, None), (42, "no such words"), (43, "")]
+    want = Counter((p, k) for p, hay in pages for k, needle in asked if hay is not None and needle is not None and needle in hay)
+    for held in (search.HELD, -1):
+        monkeypatch.setattr(search, "HELD", held)
+        got = search.contained(spark.createDataFrame(pages, "page long, hay string"), spark.createDataFrame(asked, "item long, needle string"), "page", "item")
+        assert Counter(tuple(x) for x in got.collect()) == want
+    none = search.contained(spark.createDataFrame(pages, "page long, hay string"), spark.createDataFrame([], "item long, needle string"), "page", "item")
+    assert none.collect() == []
+    monkeypatch.undo()
+    put("benchmark", [(7, "Full ｗｉｄｔｈ 123")], "item_id long, text string")
+    d = put("documents", FULL, "doc_id long, text string, lang string")
+    plan = registry.queries()["find_content_exact"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    # Pages are normalised once: one scan, and one call of Python for NFKC.
+    assert plan.count("FileScan parquet") == 1 and plan.count("ArrowEvalPython") == 1
