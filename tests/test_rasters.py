@@ -128,3 +128,69 @@ def test_components_against_flooding(diagonal):
                 ys, xs = zip(*seen, strict=True)
                 want.append({"x": min(xs), "y": min(ys), "w": max(xs) - min(xs) + 1, "h": max(ys) - min(ys) + 1, "pixels": len(seen)})
         assert R.components(mask, diagonal) == want
+
+
+@pytest.mark.parametrize("shape", [(30, 41), (1, 9), (25, 3)])
+def test_profiles_by_running_sums_are_those_of_pixels(shape):
+    h, w = shape
+    mask = np.random.RandomState(8).rand(h, w) < 0.4
+    sums = np.zeros((w + 1, h), int)
+    sums[1:] = np.cumsum(mask, axis=1).T
+    upto = np.concatenate([[0], np.cumsum(sums[-1])])
+    y, x = np.nonzero(mask)
+    for angle in (-12.0, -3.36, -0.04, 0.0, 0.2, 2.04, 12.0, 70.0):
+        at, whole, falls = R._crossings(h, w, angle)
+        got = np.abs(np.diff(sums.ravel()[at].sum(0) + (-upto[whole] if falls else upto[whole])))
+        row, col = R._places(h, w, angle)
+        want = np.bincount((row[y] - col[x]).astype(int))
+        assert np.trim_zeros(got).tolist() == np.trim_zeros(want).tolist()
+
+
+def test_skew_of_large_pages_is_that_of_tables(page, monkeypatch):
+    mask = R.binarize(R.ink_map(page[1]))
+    by_table = R.estimate_skew(mask)
+    assert slow(R.estimate_skew, mask) < 0.45
+    monkeypatch.setattr(R, "TABLED", 0)
+    assert R.estimate_skew(mask) == by_table and abs(by_table) > 0.1
+
+
+def test_registration_in_single_precision_is_that_in_double(page):
+    original, scan, _ = page
+    assert slow(R.estimate_matrix, original, scan) < 5
+
+    def shift(a, b):
+        h, w = 1024, 512
+        f, g = (np.fft.fft2((v - v.mean()) * np.hanning(550)[:, None] * np.hanning(425), (h, w)) for v in (a.astype(float), b))
+        cross = np.conj(f) * g
+        r = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
+        y, x = np.unravel_index(int(np.argmax(r)), r.shape)
+        part = lambda p, q, s: 0.5 * (p - s) / (p - 2 * q + s)
+        dx, dy = x + part(r[y, x - 1], r[y, x], r[y, (x + 1) % w]), y + part(r[y - 1, x], r[y, x], r[(y + 1) % h, x])
+        return (dx - w if dx > w / 2 else dx), (dy - h if dy > h / 2 else dy)
+
+    t = np.deg2rad(R.estimate_skew(R.binarize(R.ink_map(scan))) - R.estimate_skew(R.binarize(R.ink_map(original))))
+    h, w = original.shape
+    c, s = np.cos(t), np.sin(t)
+    m = np.array([[c, -s, w / 2 * (1 - c) + h / 2 * s], [s, c, h / 2 * (1 - c) - w / 2 * s], [0, 0, 1]])
+    for _ in range(2):
+        dx, dy = shift(original, R.warp(scan, m, original.shape))
+        m = m @ np.array([[1, 0, dx], [0, 1, dy], [0, 0, 1]])
+    assert np.allclose(R.estimate_matrix(original, scan), m, rtol=0, atol=1e-5)
+
+
+def test_warps_that_leave_the_image_a_little_or_far():
+    image = np.random.RandomState(9).rand(20, 30)
+    for dx in (-70.25, -40.25, -3.5, 0.0, 5.75, 60.5, 64.0, 90.0):
+        want = np.full((20, 30), 0.7)
+        for i, j in np.ndindex(20, 30):
+            a = int(np.floor(j + dx))
+            p, q = (image[i, k] if 0 <= k < 30 else 0.7 for k in (a, a + 1))
+            want[i, j] = p + (q - p) * (j + dx - a)
+        assert np.allclose(R.warp(image, np.array([[1, 0, dx], [0, 1, 0], [0, 0, 1]]), (20, 30), 0.7), want)
+
+
+def test_pages_are_made_where_they_are_measured(spark, made):
+    rows = {row[0]: row for row in _Reader({"pages": "6", "partitions": "1"}).read(InputPartition(0))}
+    same = lambda original, scan, m, k: all((g.ravel() == (np.frombuffer(b, np.uint8) / 255).astype(np.float32)).all() for g, b in zip((original, scan), rows[k][3:5], strict=True)) and m.ravel().tolist() == rows[k][5]
+    seen = rasters.per_page(spark.range(6).withColumnRenamed("id", "page"), lambda original, scan, m: (sum(same(original, scan, m, k) for k in rows),), "page long, n int").collect()
+    assert sorted((r.page, r.n) for r in seen) == [(k, 1) for k in range(6)]
