@@ -194,3 +194,14 @@ def test_pages_are_made_where_they_are_measured(spark, made):
     same = lambda original, scan, m, k: all((g.ravel() == (np.frombuffer(b, np.uint8) / 255).astype(np.float32)).all() for g, b in zip((original, scan), rows[k][3:5], strict=True)) and m.ravel().tolist() == rows[k][5]
     seen = rasters.per_page(spark.range(6).withColumnRenamed("id", "page"), lambda original, scan, m: (sum(same(original, scan, m, k) for k in rows),), "page long, n int").collect()
     assert sorted((r.page, r.n) for r in seen) == [(k, 1) for k in range(6)]
+
+
+def test_a_stroke_is_found_in_the_time_of_six_transforms(page):
+    assert slow(rasters.stroke_found, *page) < 6
+
+
+@pytest.mark.parametrize("m", [[[0.99, 0.1, -20.5], [-0.1, 0.99, 12.25], [0, 0, 1]], [[1, 0, 300], [0, 1, 0], [0, 0, 1]], [[0.99, 0.1, -2], [-0.1, 0.99, 1], [0.001, 0, 1]]])
+def test_warps_in_single_precision_are_those_in_double(m):
+    image = np.random.RandomState(4).rand(90, 70).astype(np.float32)
+    got = R.warp(image, np.array(m), (80, 75), 0.3, np.float32)
+    assert got.dtype == np.float32 and np.abs(got - R.warp(image, np.array(m), (80, 75), 0.3)).max() < 2e-5
