@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql.datasource import InputPartition
 
+from folioscope.functions import ink as I
 from folioscope.functions import raster as R
 from folioscope.plans import rasters, registry
 from folioscope.sources.synthetic import _Reader, form, scanned
@@ -205,3 +206,26 @@ def test_warps_in_single_precision_are_those_in_double(m):
     image = np.random.RandomState(4).rand(90, 70).astype(np.float32)
     got = R.warp(image, np.array(m), (80, 75), 0.3, np.float32)
     assert got.dtype == np.float32 and np.abs(got - R.warp(image, np.array(m), (80, 75), 0.3)).max() < 2e-5
+
+
+def test_corners_and_smaller_images_take_little_of_a_transform(page):
+    small, _ = I.downscale(page[1], 200)
+    assert slow(I.corners, small, 0.2) < 0.3 and slow(I.downscale, page[1], 200) < 0.22
+
+
+@pytest.mark.parametrize("size", [(7, 5), (30, 20), (11, 90), (1, 1), (40, 31)])
+def test_resizing_by_bands_is_that_by_all_weights(size):
+    image = np.random.RandomState(3).rand(31, 23).astype(np.float32)
+    want = I._weights(31, size[1]) @ image.astype(float) @ I._weights(23, size[0]).T
+    assert np.allclose(I.resize(image, *size), want, atol=1e-6)
+
+
+def test_a_piece_alone_in_its_box_is_the_box():
+    ring = np.zeros((40, 120), bool)
+    ring[3:9, 5:110] = True
+    ring[20:30, 20:30] = True
+    ring[22:28, 22:28] = False
+    ring[24, 24] = True
+    bar, frame, dot = R.components(ring)
+    assert I.piece_mask(ring, bar).sum() == bar["pixels"] and I.piece_mask(ring, frame).sum() == frame["pixels"] and not I.piece_mask(ring, frame)[24, 24]
+    assert slow(I.piece_mask, ring, bar) < 0.02
