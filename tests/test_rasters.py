@@ -198,7 +198,7 @@ def test_pages_are_made_where_they_are_measured(spark, made):
 
 
 def test_a_stroke_is_found_in_the_time_of_six_transforms(page):
-    assert slow(rasters.stroke_found, *page) < 6
+    assert slow(rasters.stroke_found, *page) < 5.5
 
 
 @pytest.mark.parametrize("m", [[[0.99, 0.1, -20.5], [-0.1, 0.99, 12.25], [0, 0, 1]], [[1, 0, 300], [0, 1, 0], [0, 0, 1]], [[0.99, 0.1, -2], [-0.1, 0.99, 1], [0.001, 0, 1]]])
@@ -210,7 +210,7 @@ def test_warps_in_single_precision_are_those_in_double(m):
 
 def test_corners_and_smaller_images_take_little_of_a_transform(page):
     small, _ = I.downscale(page[1], 200)
-    assert slow(I.corners, small, 0.2) < 0.3 and slow(I.downscale, page[1], 200) < 0.22
+    assert slow(I.corners, small, 0.2) < 0.37 and slow(I.downscale, page[1], 200) < 0.22
 
 
 @pytest.mark.parametrize("size", [(7, 5), (30, 20), (11, 90), (1, 1), (40, 31)])
@@ -229,3 +229,11 @@ def test_a_piece_alone_in_its_box_is_the_box():
     bar, frame, dot = R.components(ring)
     assert I.piece_mask(ring, bar).sum() == bar["pixels"] and I.piece_mask(ring, frame).sum() == frame["pixels"] and not I.piece_mask(ring, frame)[24, 24]
     assert slow(I.piece_mask, ring, bar) < 0.02
+
+
+def test_a_peak_at_the_border_of_a_strip_is_found():
+    image = np.random.RandomState(2).rand(300, 90)
+    for dy in (-130, -128, -127, 0, 31, 127, 128, 129):
+        moved = np.roll(image, (dy, 5), (0, 1))
+        dx, got, _ = R.phase_correlate(image, moved)
+        assert abs(dx - 5) < 0.2 and abs(got - dy) < 0.2
